@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from docketry.llm import exact_dedup, mixing
+from docketry.llm import bpe, exact_dedup, mixing, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op5_token_files": token_files.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_warc": warc.op7_warc,
+        "op8_bpe": bpe.op8_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
 

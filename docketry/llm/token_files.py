@@ -59,6 +59,10 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, end + 4
 
 
+def index_entry(offset: int, length: int) -> bytes:
+    return _ENTRY.pack(offset, length)
+
+
 def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
     head = _HEAD.pack((doc_id is None) | (2 * wide), doc_id or 0)
@@ -125,7 +129,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
                     ids = encoder.encode(text or "")
                     record = frame(pack(doc_id, ids))
                     out.write(record)
-                    index.write(_ENTRY.pack(offset, len(record)))
+                    index.write(index_entry(offset, len(record)))
                     offset += len(record)
                     n_docs += 1
                     n_ids += len(ids)
