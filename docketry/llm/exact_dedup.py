@@ -70,9 +70,8 @@ def unequal_digests(docs: DataFrame, level: DataFrame, n_bytes: int) -> DataFram
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_cp"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
         digest_of(F.col("text"), n_bytes).alias("digest"),
     )
-    hits = text.join(level.where("group_size > 1"), "digest").withColumn("stays", _stays())
-    # Of each digest one text stays to be compared with; equal rows of the same id and length cannot differ in bytes unseen:
-    # they are hits as well and are compared with it like all others.
+    hits = stored(text.join(level.where("group_size > 1"), "digest").select("digest", "text", _stays().alias("stays")), "lsm-hits")
+    # Of each digest one text is compared with all; rows that repeat its id and length are hits like the others.
     kept = hits.where("stays").groupBy("digest").agg(F.first("text").alias("kept_text"))
     pair = hits.join(kept, "digest")
     return stored(pair.where(normalised(F.col("text")) != normalised(F.col("kept_text"))).select("digest").distinct(), "lsm-unequal")
