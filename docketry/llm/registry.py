@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import bpe, exact_dedup, mixing, token_files, warc
+from docketry.llm import bpe, exact_dedup, mixing, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_warc": warc.op7_warc,
         "op8_bpe": bpe.op8_bpe,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_mixing": mixing.op10_mixing,
     }
 

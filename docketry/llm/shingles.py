@@ -60,10 +60,14 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that end a plain word: all of ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words_of(raw: np.ndarray, off: np.ndarray, ends_word: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the row it belongs to, in order."""
     gap = np.ones(len(raw) + 2, bool)
-    gap[1:-1] = _SPACE[raw]
+    gap[1:-1] = ends_word[raw]
     begin = ~gap[1:-1] & gap[:-2]
     first = off[:-1][np.diff(off) > 0]
     begin[first] |= ~gap[1:-1][first]
