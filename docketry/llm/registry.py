@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docketry.llm import bpe, exact_dedup, mixing, token_files, toxicity, warc
+from docketry.llm import bpe, exact_dedup, html_text, mixing, token_files, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_html_text": html_text.op2_html_text,
         "op5_token_files": token_files.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_warc": warc.op7_warc,
