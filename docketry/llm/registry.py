@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docketry.llm import ann, bpe, exact_dedup, html_text, mixing, token_files, toxicity, warc
+from docketry.llm import ann, bpe, exact_dedup, html_text, mixing, pii, token_files, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_html_text": html_text.op2_html_text,
         "op3_ann": ann.op3_ann,
+        "op4_pii": pii.op4_pii,
         "op5_token_files": token_files.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_warc": warc.op7_warc,
