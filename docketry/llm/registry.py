@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docketry.llm import ann, bpe, exact_dedup, html_text, mixing, pii, token_files, toxicity, warc
+from docketry.llm import ann, bpe, exact_dedup, html_text, mixing, ngram_join, pii, token_files, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_html_text": html_text.op2_html_text,
         "op3_ann": ann.op3_ann,
         "op4_pii": pii.op4_pii,
