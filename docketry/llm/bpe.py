@@ -176,7 +176,7 @@ def _per_text(docs: DataFrame, path: str, pattern: str, schema: str, result, typ
         for whole in batches:
             for a, b in text_slices(whole.column(1)):
                 batch = whole.slice(a, b - a)
-                rows = [result(bpe, bpe.encode(text)) for text in batch.column(1).to_pylist()]
+                rows = [result(bpe, ids) for ids in bpe.cached.encode_many(batch.column(1).to_pylist())]
                 columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], [f.split()[0] for f in schema.split(", ")])
 

@@ -47,6 +47,9 @@ class CachedEncoder:
         return b"".join(out)
 
     def _known(self, matches: list[str]) -> bytes:
+        return b"".join(self._each(matches))
+
+    def _each(self, matches: list[str]) -> list[bytes]:
         ids = list(map(self.matches.get, matches))
         if None in ids:
             missing = list(dict.fromkeys(m for m, v in zip(matches, ids) if v is None))
@@ -55,22 +58,33 @@ class CachedEncoder:
             if len(self.matches) > CACHE_ENTRIES:
                 self.matches.clear()
             self.matches.update((m, v) for m, v in new.items() if len(m) <= CACHE_CHARS)
-        return b"".join(ids)
+        return ids
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _UNSAFE.search(text):
-            return self.split(text)
-        pieces = text.split(" ")
-        ids = list(map(self.pieces.get, pieces))
-        ids[0] = self.split(pieces[0]) if pieces[0] else b""
-        if None in ids:
-            if len(self.pieces) > CACHE_ENTRIES:
-                self.pieces.clear()
-            for i, v in enumerate(ids):
-                if v is None:
-                    ids[i] = self.split(" " + pieces[i])
-                    if len(pieces[i]) <= CACHE_CHARS:
-                        self.pieces[pieces[i]] = ids[i]
-        return b"".join(ids)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; what the caches lack is encoded once for all of them."""
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces.clear()
+        cut = [t.split(" ") if t and not _UNSAFE.search(t) else None for t in texts]
+        known = self.pieces
+        found = [list(map(known.get, pieces)) if pieces else [] for pieces in cut]
+        missing = list({p for pieces, ids in zip(cut, found) if None in ids[1:] for p, v in zip(pieces[1:], ids[1:]) if v is None})
+        split = [self.pattern.findall(" " + p) for p in missing]
+        ids = self._each([m for matches in split for m in matches])
+        new, at = {}, 0
+        for piece, matches in zip(missing, split):
+            new[piece] = b"".join(ids[at : at + len(matches)])
+            at += len(matches)
+        known.update((p, v) for p, v in new.items() if len(p) <= CACHE_CHARS)
+        out = []
+        for text, pieces, ids in zip(texts, cut, found):
+            if pieces is None:
+                out.append(self.split(text) if text else b"")
+                continue
+            ids[0] = self.split(pieces[0]) if pieces[0] else b""
+            if None in ids:
+                ids = [new[p] if v is None else v for p, v in zip(pieces, ids)]
+            out.append(b"".join(ids))
+        return out

@@ -34,6 +34,8 @@ from docketry.llm.pretokens import CachedEncoder
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
 _LENGTH, _SUM, _HEAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
+#: The end id as it is appended to the ids of a text.
+END = _SUM.pack(END_ID)
 FRAME = _LENGTH.size + 2 * _SUM.size
 
 
@@ -94,12 +96,14 @@ class LibraryEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, the end id last.  Texts that hold a special token's string are not cut."""
-        if any(s in text for s in self.special):
-            ids = self._ids([text])[0]
-        else:
-            ids = self.cached.encode(text)
-        return np.frombuffer(ids + _SUM.pack(END_ID), "<u4")
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, the end id last.  Texts that hold a special token's string are not cut."""
+        special = [bool(t) and any(s in t for s in self.special) for t in texts]
+        ids = self.cached.encode_many([None if s else t for s, t in zip(special, texts)])
+        ids = [self._ids([t])[0] if s else i for s, t, i in zip(special, texts, ids)]
+        return [np.frombuffer(i + END, "<u4") for i in ids]
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -125,8 +129,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out, index = fs.open_output_stream(f"{base}/{name}.bin"), fs.open_output_stream(f"{base}/{name}.idx")
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = encoder.encode(text or "")
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist())):
                     record = frame(pack(doc_id, ids))
                     out.write(record)
                     index.write(index_entry(offset, len(record)))
