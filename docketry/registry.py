@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from docketry.queries import base, retrieval
+
+MODULES = (retrieval,)
 FLAGSHIP = "retrieve_e2e"
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
