@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketry.queries import base, retrieval
+from docketry.queries import base, classification, relational, retrieval
 
-MODULES = (retrieval,)
+MODULES = (classification, relational, retrieval)
 FLAGSHIP = "retrieve_e2e"
 
 
