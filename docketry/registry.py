@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketry.queries import base, classification, relational, retrieval
+from docketry.queries import base, classification, documents, evaluation, relational, retrieval
 
-MODULES = (classification, relational, retrieval)
+MODULES = (classification, documents, evaluation, relational, retrieval)
 FLAGSHIP = "retrieve_e2e"
 
 
