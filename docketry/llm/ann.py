@@ -76,7 +76,7 @@ class Forest:
         trees, inner = self.thresholds.shape
         margins = self.directions @ query - self.thresholds
         total = max(int(counts[0].sum()), 1)
-        missed, outside, found = np.ones(trees), 1.0, []
+        missed, found = np.full(trees, total), []
         queue = [(-math.inf, t, 0) for t in range(trees)]
         while queue:
             bound, t, node = heapq.heappop(queue)
@@ -89,10 +89,11 @@ class Forest:
             if not counts[t, leaf]:
                 continue
             found.append((t, leaf))
-            rest = max(missed[t] - counts[t, leaf] / total, 0.0)
-            outside = outside * rest / missed[t] if missed[t] > 0 else 0.0
-            missed[t] = rest
-            if 1 - outside >= share and (1 - outside) * total >= min(least, total - 1e-6):
+            missed[t] -= counts[t, leaf]
+            if not missed[t]:
+                break  # a whole tree: all vectors
+            outside = float(np.prod(missed / total)) if total > least else 1.0
+            if 1 - outside >= share and (1 - outside) * total >= least:
                 break
         return found
 
