@@ -195,14 +195,16 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20) -> DataFrame:
         if len(vectors) and len(queries):
             ids, x = vectors.column("id").to_numpy(), _matrix(vectors.column("v"))
             asked_ids, q = queries.column("id").to_numpy(), _matrix(queries.column("v"))
+            depth = k + len(ids) - len(np.unique(ids))  # rows that share an id count once
             for a in range(0, len(q), 256):
                 rough = q[a : a + 256] @ x.T
                 for i, row in enumerate(rough):
                     row[ids == asked_ids[a + i]] = -math.inf
-                    edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -math.inf
+                    edge = np.partition(row, len(row) - depth)[len(row) - depth] if len(row) > depth else -math.inf
                     near = np.flatnonzero((row >= edge - 1e-9) & (row > -math.inf))
                     exact = (x[near] * q[a + i]).sum(axis=1)
-                    best = np.lexsort((ids[near], -exact))[:k]
+                    best = np.lexsort((ids[near], -exact))
+                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
                     out.append(np.stack([np.full(len(best), asked_ids[a + i]), ids[near][best], exact[best].view(np.int64)]))
         flat = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": np.ascontiguousarray(flat[2]).view(np.float64)})
