@@ -128,3 +128,31 @@ def term_match(spark, sf_dir):
 
     found = hits(F.col("p_name"), ["blue", "green", "steel", "ivory"])
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("terms"), F.size(found).cast("long").alias("n"))
+
+
+REFINED = [
+    (1, ["销售误导"], "以即将停售为由诱导客户投保，实际并未停售", "欺骗投保人,销售误导,诱导投保"),
+    (2, ["赠送利益"], "给予投保人保险合同约定以外利益", "合同外利益,赠送利益"),
+    (3, ["虚列费用套取资金"], "营业费用核算不真实", "编制虚假财务资料"),
+    (4, ["绝对化表述"], "普通文本", ""),
+    (5, [], "电话销售中以银行存款名义介绍产品", "销售误导,电销违规"),
+    (6, ["委托无资质机构销售"], "委托未取得资格证书的人员从事保险销售", "代理人管理不到位"),
+    (7, ["回扣返佣"], None, "合同外利益,回扣返佣"),
+]
+
+
+@query(f"select * from {values('id, tags', [(r[0], r[3]) for r in REFINED])}")
+def refine_tags(spark, sf_dir):
+    """Tags refined by the text: expected values follow the rules by hand."""
+    from docketry.operators.refine import refined
+
+    d = rows(spark, "id int, raw array<string>, text string", [r[:3] for r in REFINED])
+    return refined(d, "raw", "text").select("id", F.array_join("refined", ",").alias("tags"))
+
+
+@query("select doc_id, final, final >= 0.5 is_insurance from (select doc_id, 0.0::double final from documents)")
+def corpus_filter(spark, sf_dir):
+    """The dictionary filter over a whole table."""
+    d = table(spark, sf_dir, "documents")
+    s = C.dictionary_scores(F.col("source"), F.col("text"), F.lit(None).cast("string"))
+    return d.select("doc_id", s["final"].alias("final"), s["is_insurance"].alias("is_insurance"))
