@@ -133,3 +133,66 @@ def material_report(spark, sf_dir):
     line = F.concat(F.col("turn").cast("string"), F.lit(". "), F.substring("text", 1, 20))
     parts = F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("line"))))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("summary"))
+
+
+PARTIES = [
+    (1, "当事人名称：中国人寿保险股份有限公司", "中国人寿保险股份有限公司", "party_label_prefix_stripped"), (2, "个人", "", "party_placeholder_cleared"),
+    (3, "一、甲保险公司 二、张三", "甲保险公司", "party_leading_num_stripped,party_multi_party_truncated"), (4, "某保险公司 住所：北京", "某保险公司", "party_address_tail_stripped"),
+    (5, "北京银保监局", "", "party_regulator_as_party_cleared"), (6, "行政处罚决定书（平安财产保险股份有限公司）", "平安财产保险股份有限公司", "party_title"),
+    (7, "太平 人寿 保险公司", "太平人寿保险公司", "party_whitespace_collapsed"), (8, "如不服可申请行政复议", "", "party_procedural_cleared"), (9, "甲保险公司）", "甲保险公司", "party_paren_fixed"), (10, None, "", ""),
+]
+
+
+@query(f"select * from {values('id, party, reasons', [(r[0], r[2], r[3]) for r in PARTIES])}")
+def clean_parties(spark, sf_dir):
+    """Party names cleaned step by step: expected values follow the steps by hand."""
+    from docketry.operators.gold import cleaned
+
+    d = cleaned(rows(spark, "id int, party_name string", [r[:2] for r in PARTIES]), "party_name")
+    return d.select("id", F.col("party_name").alias("party"), F.array_join("party_name_reasons", ",").alias("reasons"))
+
+
+OTHER_FIELDS = [
+    (1, "文号：京银保监罚决字〔2026〕 12号 被处罚人张三", "处罚机关：国家金融监督管理总局北京监管", "违法行为：虚列 费用", "京银保监罚决字〔2026〕12号", "国家金融监督管理总局北京监管局", "虚列费用"),
+    (2, "无号 当事人李四", "向上级申请行政复议", "如不服本决定", "无号", "", ""),
+    (3, None, "上海银保监局", None, "", "上海银保监局", ""),
+]
+
+
+@query(f"select * from {values('id, doc_no, regulator, behaviour', [(r[0], *r[4:]) for r in OTHER_FIELDS])}")
+def clean_fields(spark, sf_dir):
+    from docketry.operators.gold import cleaned
+
+    d = rows(spark, "id int, penalty_doc_no string, regulator string, violation_behavior string", [r[:4] for r in OTHER_FIELDS])
+    for c in ("penalty_doc_no", "regulator", "violation_behavior"):
+        d = cleaned(d, c)
+    return d.select("id", F.trim("penalty_doc_no").alias("doc_no"), "regulator", F.col("violation_behavior").alias("behaviour"))
+
+
+@query("select reason, count(*) n from (select case when text is null or trim(text) = '' then 'blank' when length(text) > 1000 then 'long' else 'plain' end reason from documents) group by reason")
+def clean_reason_counts(spark, sf_dir):
+    """Reasons of a cleaner over a whole table, counted."""
+    from docketry.operators.gold import clean_report
+
+    text = F.coalesce("text", F.lit(""))
+    reason = F.when(F.trim(text) == "", "blank").when(F.length(text) > 1000, "long").otherwise("plain")
+    return clean_report(table(spark, sf_dir, "documents").select(F.array(reason).alias("text_reasons")))
+
+
+MERGES = [(1, "", "low", "京1号", "high", "京1号", True), (2, "模2号", "high", "京2号", "low", "模2号", False), (3, "模3号", "high", "京3号", "high", "京3号", True), (4, "同号", "high", "同号", "medium", "同号", False), (5, "模5号", "high", "", "low", "模5号", False)]
+
+
+@query(f"select * from {values('id, doc_no, changed', [(r[0], r[5], r[6]) for r in MERGES])}")
+def short_field_merge(spark, sf_dir):
+    from docketry.operators.gold import merged_fields
+
+    d = rows(spark, "id int, m string, ml string, p string, pl string", [r[:5] for r in MERGES])
+    out, changed = merged_fields({"penalty_doc_no": (F.col("m"), F.col("ml"))}, {"penalty_doc_no": (F.col("p"), F.col("pl"))})
+    return d.select("id", out["penalty_doc_no"][0].alias("doc_no"), changed.alias("changed"))
+
+
+@query()
+def evidence_snippets(spark, sf_dir):
+    from docketry.operators.gold import evidence
+
+    return rows(spark, "id int, text string", DECISIONS).select("id", evidence(F.col("text")).alias("snippet"))
