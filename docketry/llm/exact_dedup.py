@@ -74,7 +74,9 @@ def unequal_digests(docs: DataFrame, level: DataFrame, n_bytes: int) -> DataFram
     # Of each digest one text is compared with all; rows that repeat its id and length are hits like the others.
     kept = hits.where("stays").groupBy("digest").agg(F.first("text").alias("kept_text"))
     pair = hits.join(kept, "digest")
-    return stored(pair.where(normalised(F.col("text")) != normalised(F.col("kept_text"))).select("digest").distinct(), "lsm-unequal")
+    # Distinct only after the table is written: nothing that needs a digest's rows together stands on the join.
+    unequal = stored(pair.where(normalised(F.col("text")) != normalised(F.col("kept_text"))).select("digest"), "lsm-unequal")
+    return unequal.distinct()
 
 
 def regrouped(docs: DataFrame, bad: DataFrame, n_bytes: int) -> DataFrame:
