@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketry.queries import base, classification, documents, evaluation, insights, relational, retrieval
+from docketry.queries import base, classification, conclusions, documents, evaluation, insights, relational, retrieval
 
-MODULES = (classification, documents, evaluation, insights, relational, retrieval)
+MODULES = (classification, conclusions, documents, evaluation, insights, relational, retrieval)
 FLAGSHIP = "retrieve_e2e"
 
 
