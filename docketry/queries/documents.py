@@ -196,3 +196,18 @@ def evidence_snippets(spark, sf_dir):
     from docketry.operators.gold import evidence
 
     return rows(spark, "id int, text string", DECISIONS).select("id", evidence(F.col("text")).alias("snippet"))
+
+
+PARTY_TEXTS = [
+    (1, "当事人：张三，男\n当事人：中国人寿保险股份有限公司（以下简称公司）", "中国人寿保险股份有限公司", "high"),
+    (2, "行政处罚决定书（某某保险经纪有限公司）\n正文", "某某保险经纪有限公司", "medium"),
+    (3, "经查，平安财产保险股份有限公司存在下列行为", "平安财产保险股份有限公司", "medium"),
+    (4, "受处罚人：李四 职务：经理", "李四", "high"), (5, "没有主体", None, None),
+]
+
+
+@query(f"select * from {values('id, party, level', [(r[0], r[2], r[3]) for r in PARTY_TEXTS])}")
+def party_candidates(spark, sf_dir):
+    """The best candidate for the party of a text: expected values by hand."""
+    name, level = X.party(F.col("text"))
+    return rows(spark, "id int, text string", [r[:2] for r in PARTY_TEXTS]).select("id", name.alias("party"), level.alias("level"))
