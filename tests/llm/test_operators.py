@@ -62,6 +62,30 @@ def test_ngram_join_chains_and_hot_passages(spark):
     assert kept == {c for _, _, c in got}
 
 
+def test_ngram_join_cuts_long_lists(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(40, 90, 500)
+    rows = [(7, int(n), i, 0, i if i % 3 else 0) for i, n in enumerate(sizes)] + [(8, 50, i, 0, 1) for i in range(300)] + [(9, 50, i, 0, i) for i in range(5)]
+    lists = spark.createDataFrame(rows, "token long, n int, fp long, pos int, root long").repartition(3)
+    dealt = ngram_join.cells_of(lists, ngram_join.open_lists(lists, 32), 32)
+    cells = defaultdict(list)
+    for r in dealt.collect():
+        cells[r.token, r.g1, r.i, r.g2, r.j].append(r)
+    assert {c[0] for c in cells} == {7, 9}  # the list of one class is not dealt
+    assert max(map(len, cells.values())) <= 4 * 32
+    met = defaultdict(int)
+    for (_, g1, i, g2, j), found in cells.items():
+        for a in found:
+            for b in found:
+                if a.token == 7 and a.fp < b.fp and ((g1, i) == (g2, j) or a.first != b.first):
+                    met[a.fp, b.fp] += 1
+    assert set(met.values()) == {1}  # no pair twice, and none that can link left out
+    n = {i: int(x) for i, x in enumerate(sizes)}
+    assert all((a, b) in met for a in n for b in range(a + 1, 500) if 4 * min(n[a], n[b]) >= 3 * max(n[a], n[b]))
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 4)
+    test_ngram_join_chains_and_hot_passages(spark)
+
+
 def test_exact_dedup(odd, odd_rows, none):
     groups = defaultdict(list)
     for r in odd_rows:
