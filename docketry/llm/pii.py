@@ -1,7 +1,8 @@
 r"""Surrogates for personal data, in DataFrame functions only.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card numbers, social security numbers, IBANs, secrets
-after a key word and long hexadecimal keys, and persons after a title.  Each mention is made of units (a name token,
+after a key word and long hexadecimal keys, and persons after a title (initials, particles, several names, scripts
+without case) with the further occurrences of their names in the same text.  Each mention is made of units (a name token,
 or the whole mention); a unit's surrogate comes from a keyed SHA-256 of its type and canonical form, so that the same
 person, address or number gets the same surrogate in every text and spelling (coreference), and is written in the
 mention's own format: digits stay digits, letters keep their case and script, separators, country codes, card issuer
@@ -37,7 +38,11 @@ SYLLABLES = "bar den fol gar hal jen kor lan mer nol pas quin ros sel tor vin".s
 SYLLABLES_CYRILLIC = "бар ден фол гар хал жен кор лан мер нол пас рин рос сел тор вин".split()
 
 _TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES))
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+PARTICLES = "al bin da de del della den der di dos du el ibn la le ten ter van von y".split()
+_IN_NAME = r"(?:[\p{L}\p{M}]|['’-](?!s(?!\p{L}))(?=\p{L}))"
+_NAME = rf"(?:\p{{Lu}}{_IN_NAME}+|\p{{IsHan}}{{2,4}}|[\p{{Lo}}&&[^\p{{IsHan}}]][\p{{Lo}}\p{{M}}]+)"
+_INITIAL = r"(?:(?:\p{Lu}\.)+|\p{Lu})"
+_BEFORE = rf"(?:(?:{_INITIAL}|{'|'.join(PARTICLES)}) ){{0,4}}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
@@ -49,7 +54,7 @@ PATTERNS = {
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "PHONE": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "PERSON": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "PERSON": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_BEFORE}{_NAME}(?: {_BEFORE}{_NAME}){{0,4}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -59,7 +64,7 @@ def kind_of(mention: Column) -> Column:
     m = lambda p: mention.rlike(rf"^(?:{p})$")
     return (
         F.when(mention.contains("@"), "EMAIL")
-        .when(mention.rlike(rf"^(?:{_TITLES})\.? \p{{Lu}}"), "PERSON")
+        .when(mention.rlike(rf"^(?:{_TITLES})\.? "), "PERSON")
         .when(m(_OCTET + rf"(?:\.{_OCTET}){{3}}"), "IP")
         .when(m(r"\d{4}(?:[ -]?\d{4}){3}"), "CARD")
         .when(m(r"\d{3}-\d{2}-\d{4}"), "SSN")
@@ -77,7 +82,11 @@ def units_of(mention: Column) -> Column:
     tokens = F.split(mention, " ")
     person = F.transform(
         F.slice(tokens, 2, F.size(tokens) - 1),
-        lambda t, i: F.struct(F.when(i == F.size(tokens) - 2, F.lit("SURNAME")).otherwise(given).alias("kind"), F.lower(t).alias("canon"), t.alias("shape")),
+        lambda t, i: F.struct(
+            F.when(t.rlike(f"^{_INITIAL}$"), F.lit("INITIAL")).when(t.isin(*PARTICLES), "PARTICLE").when(i == F.size(tokens) - 2, "SURNAME").otherwise(given).alias("kind"),
+            F.when(t.rlike(f"^{_INITIAL}$"), t).otherwise(F.lower(t)).alias("canon"),
+            t.alias("shape"),
+        ),
     )
     canon = (
         F.when(kind == "EMAIL", F.lower(mention))
@@ -162,7 +171,9 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
         .when(kind == "IP", octets)
         .when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), F.array_join(poured, ""))
         .when(kind == "SECRET", F.col("_drawn"))
-        .when(shape == F.upper(shape), F.upper("_name"))
+        .when(kind == "PARTICLE", shape)
+        .when(kind == "INITIAL", F.when(F.col("_drawn") == shape, F.regexp_replace(shape, r"\p{Lu}", "Z")).otherwise(F.col("_drawn")))
+        .when((shape == F.upper(shape)) & (shape != F.lower(shape)), F.upper("_name"))
         .otherwise(F.col("_name"))
     )
     return t.select(*units.columns, made.alias("made"))
@@ -177,7 +188,9 @@ def attempts_of(units: DataFrame, key: str) -> DataFrame:
     # Surrogates are compared within a type; given names are of one type whatever their gender.
     family = F.when(F.col("kind").startswith("GIVEN"), F.lit("GIVEN")).otherwise(F.col("kind"))
     plain = F.when(F.col("kind").isin("PHONE", "CARD", "SSN"), F.regexp_replace("made", r"\D", "")).otherwise(F.lower("made"))
-    current = stored(units.groupBy("kind", "canon").agg(F.min("shape").alias("shape"), F.lit(0).alias("attempt")), "pii-units")
+    few = F.col("kind").isin("INITIAL", "PARTICLE")  # letters are too few to stay distinct, particles stay as they are
+    others = units.where(few).select("kind", "canon", F.lit(0).alias("attempt")).distinct()
+    current = stored(units.where(~few).groupBy("kind", "canon").agg(F.min("shape").alias("shape"), F.lit(0).alias("attempt")), "pii-units")
     original = current.select(family.alias("family"), F.lower("canon").alias("form"), F.lit(True).alias("is_original")).distinct()
     for _ in range(MAX_ROUNDS):
         made = with_surrogates(current, key).select("kind", "canon", "shape", "attempt", family.alias("family"), plain.alias("form"))
@@ -187,12 +200,36 @@ def attempts_of(units: DataFrame, key: str) -> DataFrame:
         checked = ranked.select("kind", "canon", "shape", (F.col("attempt") + wrong.cast("int")).alias("attempt"), wrong.alias("again"))
         current = stored(checked, "pii-attempts")
         if current.where("again").isEmpty():
-            return current.select("kind", "canon", "attempt")
+            return current.select("kind", "canon", "attempt").unionByName(others)
     raise ValueError("surrogates still collide: the key or the name lists are too weak for these entities")
 
 
+def names_of(units: DataFrame) -> DataFrame:
+    """(key, names): for each text a map from the name tokens found in it, in lower case, to their surrogates."""
+    tokens = units.where(F.col("kind").startswith("GIVEN") | (F.col("kind") == "SURNAME"))
+    # A token found as a surname and as a given name is taken as the surname.
+    one = tokens.groupBy("key", "canon").agg(F.initcap(F.max(F.struct("kind", "made"))["made"]).alias("made"))
+    return one.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("canon", "made")))).alias("names"))
+
+
+def without_names(piece: Column, names: Column) -> Column:
+    """``piece`` with the further occurrences of ``names``: whole capitalised words, and any place in scripts without case."""
+
+    def word(w: Column) -> Column:
+        made = F.element_at(names, F.lower(w))
+        made = F.when(F.length(w) > 1, F.when(w == F.upper(w), F.upper(made)).otherwise(made))
+        return F.when(w.rlike(r"^\p{Lu}"), F.coalesce(made, w)).otherwise(w)
+
+    words = F.regexp_extract_all(piece, F.lit(rf"{_IN_NAME}+|(?:(?!{_IN_NAME})[\s\S])+"), F.lit(0))
+    whole = lambda w: F.map_contains_key(names, F.lower(w))
+    text = F.array_join(F.transform(words, lambda w: F.when(whole(w), word(w)).otherwise(F.array_join(F.transform(F.split(w, "-"), word), "-"))), "")
+    caseless = F.filter(F.map_keys(names), lambda n: n.rlike(r"^\p{Lo}"))
+    longest_first = F.array_sort(caseless, lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(longest_first, text, lambda t, n: F.replace(t, n, F.element_at(names, n)))
+
+
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and the number of mentions as ``n_entities``."""
+    """``docs`` with surrogates in ``text`` and the number of mentions that the patterns find as ``n_entities``."""
     own = docs.columns
     # The patterns are searched once; everything else is on the few texts with mentions.
     marked = stored(docs.withColumn("__pii_found", mentions_of(F.coalesce(F.col("text"), F.lit("")))), "pii-found")
@@ -204,16 +241,20 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     units = stored(units.select("key", "pos", "part", "mention", "u.*"), "pii-mentions")
     forms = units.select("kind", "canon", "shape").distinct().join(attempts_of(units, key), ["kind", "canon"])
     made = stored(with_surrogates(forms, key).select("kind", "canon", "shape", "made"), "pii-surrogates")
-    title = F.regexp_extract("mention", rf"^((?:{_TITLES})\.? )\p{{Lu}}", 1)
+    title = F.regexp_extract("mention", rf"^((?:{_TITLES})\.? )", 1)
     part = F.struct("pos", "part", F.concat(F.when(F.col("part") == 0, title).otherwise(" "), "made").alias("made"))
     # A text's mentions meet in one row; copies of a text share it.
-    found = units.distinct().join(made, ["kind", "canon", "shape"]).groupBy("key").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    joined = units.distinct().join(made, ["kind", "canon", "shape"])
+    found = joined.groupBy("key").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    found = found.join(names_of(joined), "key", "left")
     rows = private.withColumn("__pii_key", text_key).join(found.withColumnRenamed("key", "__pii_key"), "__pii_key")
     in_place = F.transform(
         F.sequence(F.lit(0), F.col("n_entities") - 1),
         lambda i: F.array_join(F.transform(F.filter("parts", lambda p: p["pos"] == i), lambda p: p["made"]), ""),
     )
     rows = rows.withColumn("__pii_made", in_place).withColumn("__pii_between", F.split("text", PATTERN, -1))
+    between = F.when(F.col("names").isNull(), F.col("__pii_between")).otherwise(F.transform("__pii_between", lambda x: without_names(x, F.col("names"))))
+    rows = rows.withColumn("__pii_between", between)
     text = F.array_join(F.zip_with("__pii_between", "__pii_made", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     rows = rows.withColumn("text", text)
     return clean.select(*own, "n_entities").unionByName(rows.select(*own, "n_entities"))

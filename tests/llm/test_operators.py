@@ -243,3 +243,18 @@ def test_pii(spark, odd, none):
     assert names[1] == names[3] and any(names[0].startswith(n) for n in pii.GIVEN_FEMALE) and any(names[2].startswith(n) for n in pii.GIVEN_MALE)
     assert by[4][0].text == rows[3][1] and by[5][0].text is None and by[6][0].text == ""
     assert pii.replaced(odd).columns == [*odd.columns, "n_entities"] and pii.replaced(none).count() == 0
+
+
+def test_pii_names_without_title(spark):
+    rows = [
+        (1, "Mr John Smith came. Smith said: SMITH's car, John-Smith, smith, Smithers."), (2, "Dr. J. Smith left"), (3, "Mr John Paul Smith, Frau von der Leyen"),
+        (4, "Mr 王小明 说 王小明来了"), (5, "Dr O'Neill and O'Neill’s dog"), (6, "Smith alone"), (7, "Mr أحمد and أحمد"),
+    ]
+    out = {r.doc_id: r.text for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, name = re.match(r"Mr (\S+) (\S+) came", out[1]).groups()
+    assert out[1] == f"Mr {given} {name} came. {name} said: {name.upper()}'s car, {given}-{name}, smith, Smithers."
+    initial, other = re.fullmatch(r"Dr\. ([A-Z])\. (\S+) left", out[2]).groups()
+    assert initial != "J" and other == name  # the same person in every text
+    assert re.fullmatch(rf"Mr (?!John)\S+ (?!Paul)\S+ {name}, Frau von der (?!Leyen)\S+", out[3])
+    assert "王" not in out[4] and "O'Neill" not in out[5] and "أحمد" not in out[7]
+    assert out[6] == "Smith alone"
