@@ -47,6 +47,7 @@ NAMED_REMOVED = frozenset(
 )
 NAMED_REMOVED_OUTSIDE = frozenset({"header"})  # inside an article it holds the article's heading
 SAME_KIND = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot article section div main body".split())
 
 _MARKUP = re.compile(
@@ -60,7 +61,7 @@ _MARKUP = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_TOKENS = re.compile(r"[a-z]+")
+_IS_ID = re.compile(r"id\s*=", re.I)
 
 
 class Node:
@@ -80,8 +81,12 @@ def is_removed(tag: str, attrs: str, in_article: bool) -> bool:
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     names = set()
-    for groups in _NAMES.findall(attrs):
-        names.update(_TOKENS.findall("".join(groups).lower()))
+    for m in _NAMES.finditer(attrs):
+        value = "".join(x or "" for x in m.groups()).lower()
+        if not _IS_ID.match(m[0]):
+            names.update(value.split())
+        elif tag not in HEADINGS and not (in_article and tag == "section"):
+            names.add(value.strip())
     if names & NAMED_REMOVED or (names & NAMED_REMOVED_OUTSIDE and not in_article):
         return True
     return bool(_HIDDEN.search(attrs))
@@ -113,6 +118,17 @@ def parsed(html: str) -> tuple[Node, list[str]]:
             articles -= done.tag in ("article", "main")
         node, links = stack[-1], 0
 
+    def implied_ends(tag: str) -> None:
+        """Close the elements inside a removed one, or itself, that a start tag ends by implication."""
+        if tag in CLOSES_P and removed[-1] == "p":
+            removed.pop()
+        for depth in range(len(removed) - 1, -1, -1):
+            if removed[depth] in SAME_KIND.get(tag, ()):
+                del removed[depth:]
+                break
+            if removed[depth] in CONTAINERS:
+                break
+
     for m in _MARKUP.finditer(html):
         if m.start() > at:
             text(html[at : m.start()])
@@ -126,17 +142,16 @@ def parsed(html: str) -> tuple[Node, list[str]]:
                 if tag in removed:
                     while removed.pop() != tag:
                         pass
-                elif tag in ("body", "html", "article", "main"):
-                    removed.clear()
-                else:
                     continue
-                if removed or tag not in ("body", "html", "article", "main"):
+                if tag not in ("body", "html") and (tag in INLINE or all(n.tag != tag for n in stack[1:])):
                     continue
-            elif tag not in VOID and not attrs.endswith("/"):
-                removed.append(tag)
-                continue
+                removed.clear()  # the end of an open ancestor ends it
             else:
-                continue
+                implied_ends(tag)
+                if removed:
+                    if tag not in VOID and not attrs.endswith("/"):
+                        removed.append(tag)
+                    continue
         if ending:
             if tag == "a":
                 links = max(0, links - 1)

@@ -258,3 +258,12 @@ def test_pii_names_without_title(spark):
     assert re.fullmatch(rf"Mr (?!John)\S+ (?!Paul)\S+ {name}, Frau von der (?!Leyen)\S+", out[3])
     assert "王" not in out[4] and "O'Neill" not in out[5] and "أحمد" not in out[7]
     assert out[6] == "Smith alone"
+
+
+def test_html_text_after_removed_parts():
+    p = "Some words of a paragraph that is long enough. " * 4
+    text = " ".join(p.split())
+    for page in (f"<div><p class=notice>x<p>{p}</div>", f"<ul><li class=share>a<li>b</ul><p>{p}", f"<div><div class=ad>x</div><p>{p}</div>", f"<div><section><div class=ad>x<b>y</section><p>{p}</div>"):
+        assert text in html_text.main_text(f"<body>{page}</body>") and "x" not in html_text.main_text(f"<body>{page}</body>").split()
+    page = f"<article><section id='social-history'><h2 id='form-and-function'>Head</h2><p class='related-findings'>{p}</section></article>"
+    assert html_text.main_text(page) == "Head " + text
