@@ -6,18 +6,23 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python; texts may be long, so batches stay small.
 ARROW_ROWS = 512
+#: Bytes of an Arrow batch sent to Python, about.
+BATCH_BYTES = 16 << 20
 #: Text bytes that one numpy pass works on at most (a longer single text is one pass of its own).
 SLICE_BYTES = 1 << 20
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
+#: Bits of a key filter (4 MiB, whatever the table's size) and of one of its rows.
+FILTER_BITS, FILTER_ROW_BITS = 1 << 25, 1 << 15
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +30,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one is set only where that is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one is set only where that is unset.
+
+    Only a local master may go without the setting: executors elsewhere would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -46,7 +56,15 @@ def stored(df: DataFrame, tag: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables that ``stored`` wrote for these frames; nothing reads them any more."""
+    for df in frames:
+        drop_folder(df.sparkSession, df.scratch_path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -66,6 +84,45 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Rows of an Arrow batch for the actions inside; the session's own value comes back afterwards."""
+    values = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _filter_bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).cast("long")
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """A filter over the one column of ``keys``: (filter_row, filter_bits), at most 1,024 rows of 4 KiB (stored)."""
+    bit = _filter_bit(F.col(keys.columns[0]))
+    rows = keys.select((bit / FILTER_ROW_BITS).cast("long").alias("filter_row"), (bit % FILTER_ROW_BITS).alias("bit"))
+    return stored(rows.groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits")), "key-filter")
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: false only if ``key`` is certainly not among those of the filter ``keys``.
+
+    The filter is broadcast: its size is fixed, so that large rows need not be shuffled to be ruled out.
+    """
+    small = F.broadcast(keys.select(F.col("filter_row").alias("__filter_row"), F.col("filter_bits").alias("__filter_bits")))
+    bit = _filter_bit(key)
+    at = bit % FILTER_ROW_BITS
+    byte = F.conv(F.hex(F.substring(F.col("__filter_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(small, (bit / FILTER_ROW_BITS).cast("long") == F.col("__filter_row"), "left")
+    held = F.col("__filter_row").isNotNull() & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return found.withColumn("__maybe", F.coalesce(held, F.lit(False))).drop("__filter_row", "__filter_bits")
+
+
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array, each with at most ``max_bytes`` of text (or one row)."""
     import numpy as np

@@ -62,6 +62,40 @@ def test_ngram_join_chains_and_hot_passages(spark):
     assert kept == {c for _, _, c in got}
 
 
+def family_rows(seed, n_sets):
+    """A family of copies with chance changes of many degrees, cut ones too, some linked only by way of others."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(80)]
+    sub = [f"s{i}" for i in range(30)]
+    texts = [" ".join(base)]
+    for k in range(n_sets):
+        words = list(base)
+        for i in rng.choice(len(words), int(rng.integers(0, 7)), replace=False):
+            words[i] = f"x{rng.integers(0, 10**6)}"
+        if k % 5 == 0:
+            words = words[: int(rng.integers(50, 80))]
+        if k % 4 == 1:
+            words = words[:50] + sub
+        if k % 7 == 2:
+            words = words + [f"y{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(1, 40)))]
+        texts.append(" ".join(words))
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("direct, block, cell, star", [(64, 128, 1024, 2048), (6, 4, 16, 8), (2, 2, 4, 3)])
+def test_ngram_join_long_lists_match_brute_force(spark, monkeypatch, direct, block, cell, star):
+    for name, value in (("DIRECT_ROWS", direct), ("LIST_BLOCK", block), ("CELL_ROWS", cell), ("STAR_ROWS", star)):
+        monkeypatch.setattr(ngram_join, name, value)
+    seen = []
+    rounds = ngram_join.difference_rows
+    monkeypatch.setattr(ngram_join, "difference_rows", lambda *x: seen.append(1) or rounds(*x))
+    rows = family_rows(11, 150) + [(1000 + i, t.replace("b", "q")) for i, t in family_rows(12, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.joined(docs).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert len(seen) > 1 or direct == 64
+
+
 def test_ngram_join_cuts_long_lists(spark, monkeypatch):
     rng = np.random.default_rng(4)
     sizes = rng.integers(40, 90, 500)
