@@ -75,7 +75,7 @@ def family_rows(seed, n_sets):
         if k % 5 == 0:
             words = words[: int(rng.integers(50, 80))]
         if k % 4 == 1:
-            words = words[:50] + sub
+            words = words[:70] + sub[:10]
         if k % 7 == 2:
             words = words + [f"y{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(1, 40)))]
         texts.append(" ".join(words))
