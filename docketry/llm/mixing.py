@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WORD_REGEX, read, stored, word_count
+from docketry.llm.common import WORD_REGEX, read, release, stored, word_count
 
 #: Rows that one key range of a source holds on average.
 ROWS_PER_RANGE = 4096
@@ -35,6 +35,10 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 1.0) / float(1 << 52)
 
 
+def weight_of(quality: Column) -> Column:
+    return F.when(quality == 1, QUALITY_WEIGHTS[1]).when(quality == 0, QUALITY_WEIGHTS[0]).otherwise(QUALITY_WEIGHTS[None])
+
+
 def weighted(docs: DataFrame, labels: DataFrame | None, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, key, place): words, exponential key and its place in (0, 1) of each document."""
     rows = docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size"))
@@ -42,10 +46,7 @@ def weighted(docs: DataFrame, labels: DataFrame | None, seed: str = SEED) -> Dat
         rows = rows.withColumn("w", F.lit(QUALITY_WEIGHTS[None]))
     else:
         quality = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
-        rows = rows.join(quality, "doc_id", "left").withColumn(
-            "w",
-            F.when(F.col("q") == 1, QUALITY_WEIGHTS[1]).when(F.col("q") == 0, QUALITY_WEIGHTS[0]).otherwise(QUALITY_WEIGHTS[None]),
-        )
+        rows = rows.join(quality, "doc_id", "left").withColumn("w", weight_of(F.col("q")))
     u = uniform(F.col("doc_id"), seed)
     return rows.select(
         "doc_id", "source", "size", (-F.log(u) / F.col("w")).alias("key"), (1.0 - F.pow(u, 1.0 / F.col("w"))).alias("place")
@@ -110,34 +111,37 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> D
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> DataFrame:
     """The mixed corpus: columns of ``docs``, each row repeated as often as it is taken.
 
-    The decision for a source is its number of epochs and the last key taken, one row per source, so that texts
-    are not shuffled to be chosen.
+    The decision for a source is its number of epochs and the last key taken, one row per source.  A larger weight
+    only brings a document forward, so that most are decided by their id alone: taken at the least weight, or left
+    at the greatest.  Only the rest is joined with its label.
     """
-    own = docs.columns
     taken = mix(docs, labels, seed)
     per_source = taken.groupBy("source").agg(
-        F.min("copies").alias("_epochs"),
-        F.max(F.struct("copies", F.struct("key", "doc_id", "size"))).alias("_top"),
-    )
-    per_source = per_source.select(
-        F.col("source").alias("_source"), "_epochs", F.col("_top.copies").alias("_most"), F.col("_top.col2").alias("_last")
+        F.min("copies").alias("epochs"), F.max(F.struct("copies", F.struct("key", "doc_id", "size").alias("last"))).alias("top")
     )
-    per_source = stored(per_source, "mix-cut")
-    u = uniform(F.col("doc_id"), seed)
-    rows = docs
+    per_source = stored(per_source.select("source", "epochs", F.col("top.copies").alias("most"), "top.last"), "mix-cut")
+    release(docs.sparkSession)
+    row = F.col("row")  # all columns of docs in one, so that none can clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), uniform(F.col("doc_id"), seed).alias("u"))
+    rows = packed.join(per_source, row["source"].eqNullSafe(F.col("source"))).drop("source")
+
+    def extra(w: Column) -> Column:
+        """Whether the document is taken once more than its source's epochs, if its weight is ``w``."""
+        key, last, i = -F.log(F.col("u")) / w, F.col("last"), row["doc_id"]
+        same = (key == last["key"]) & i.eqNullSafe(last["doc_id"]) & (word_count(row["text"]) <= last["size"])
+        earlier = (key == last["key"]) & (i.isNull() & last["doc_id"].isNotNull() | F.coalesce(i < last["doc_id"], F.lit(False)))
+        return (F.col("most") > F.col("epochs")) & ((key < last["key"]) | earlier | same) & F.coalesce(row["text"].rlike(WORD_REGEX), F.lit(False))
+
     if labels is None:
-        w = F.lit(QUALITY_WEIGHTS[None])
+        decided = rows.withColumn("extra", extra(F.lit(QUALITY_WEIGHTS[None])))
     else:
-        quality = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
-        rows = docs.join(quality, F.col("doc_id") == F.col("_id"), "left")
-        w = F.when(F.col("_q") == 1, QUALITY_WEIGHTS[1]).when(F.col("_q") == 0, QUALITY_WEIGHTS[0]).otherwise(QUALITY_WEIGHTS[None])
-    place = F.struct((-F.log(u) / w).alias("key"), "doc_id", word_count(F.col("text")).alias("size"))
-    rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
-    extra = (F.col("_most") > F.col("_epochs")) & (place <= F.col("_last"))
-    copies = F.col("_epochs") + extra.cast("long")
-    return rows.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn(
-        "__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))
-    ).select(*own)
+        least, most = (extra(F.lit(x)) for x in (min(QUALITY_WEIGHTS.values()), max(QUALITY_WEIGHTS.values())))
+        sure = rows.where(least == most).withColumn("extra", least)
+        quality = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
+        unsure = rows.where(least != most).join(quality, row["doc_id"] == quality["doc_id"], "left")
+        decided = sure.unionByName(unsure.withColumn("extra", extra(weight_of(F.col("q")))).select(*sure.columns))
+    copies = (F.col("epochs") + F.col("extra").cast("long")).cast("int")
+    return decided.where(copies > 0).select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
