@@ -8,10 +8,13 @@ sections) belong to the article as well.
 
 Removed before that, with all they hold: scripts, styles, forms, menus, page headers, footers, asides, embedded
 objects, hidden parts, and elements whose class, id or role names them as advert, notice, sidebar, comments and the
-like.  Character references are decoded, white space inside a block becomes one space, blocks are joined by one.
+like (whole class tokens; ids as a whole, not of headings or of sections of an article).  A name is weighed against
+the text: a form or a named element without which almost nothing of the page is left is its wrapper and stays.
+Character references are decoded, white space inside a block becomes one space, blocks are joined by one.
 
 Defined results: null, empty and text-free pages give an empty text; a page that breaks off in a tag, a comment or
-a script is read up to there; repeated rows give repeated results; other columns are not read.
+a script is read up to there; a head without end tag ends at the first tag or text of a body; depth is not limited;
+repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup "
     "time tt u var img wbr picture source track area label".split()
 )
-REMOVED = frozenset("nav footer aside form button select fieldset menu dialog input audio video map head".split())
+REMOVED = frozenset("nav footer aside button select menu dialog input audio video map head".split())
+HEAD_ONLY = frozenset("meta link base".split())
+WRAPPERS = frozenset("form fieldset".split())  # removed, unless they wrap the page
 CLOSES_P = frozenset(
     "address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -59,49 +64,59 @@ _MARKUP = re.compile(
     |<\Z""",
     re.S | re.I | re.X,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_IS_ID = re.compile(r"id\s*=", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORTH_READING = re.compile(r"class|id|role|hidden|style", re.I)
+_STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+#: What becomes of an element: it stays, it goes unless it wraps the page, or it goes.
+STAYS, NAMED, GOES = range(3)
+#: A named element wraps the page if what is left without it is less than this part of its text; comments need less.
+LEFT, LEFT_BY_COMMENTS = 1 / 4, 1 / 20
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "start", "end", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "start", "end", "density", "total", "fate", "comments", "nested", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, start: int):
+    def __init__(self, tag: str, parent: Node | None, start: int, fate: int = STAYS, comments: bool = False):
         self.tag, self.parent, self.children, self.start, self.end = tag, parent, [], start, start
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.nested = 0
         self.density = self.total = 0.0
+        self.fate, self.comments, self.prose = fate, comments, tag in PROSE
         if parent is not None:
             parent.children.append(self)
 
 
-def is_removed(tag: str, attrs: str, in_article: bool) -> bool:
+def fate_of(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """What becomes of an element by its tag and attributes, and whether its names are those of comments."""
     if tag in REMOVED or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    names = set()
-    for m in _NAMES.finditer(attrs):
-        value = "".join(x or "" for x in m.groups()).lower()
-        if not _IS_ID.match(m[0]):
+        return GOES, False
+    fate = NAMED if tag in WRAPPERS else STAYS
+    if not attrs or tag in ("html", "body", "article", "main") or not _WORTH_READING.search(attrs):
+        return fate, False
+    names: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attrs):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _STYLE_HIDDEN.search(value)):
+            return GOES, False
+        if key in ("class", "role"):
             names.update(value.split())
-        elif tag not in HEADINGS and not (in_article and tag == "section"):
+        elif key == "id" and tag not in HEADINGS and not (in_article and tag == "section"):
             names.add(value.strip())
     if names & NAMED_REMOVED or (names & NAMED_REMOVED_OUTSIDE and not in_article):
-        return True
-    return bool(_HIDDEN.search(attrs))
+        fate = NAMED
+    return fate, bool(names & COMMENTS)
 
 
 def parsed(html: str) -> tuple[Node, list[str]]:
-    """The tree of block nodes without removed parts, and the text pieces in page order."""
+    """The tree of block nodes, removed ones included, and the text pieces in page order."""
     root = Node("body", None, 0)
     node, stack, pieces = root, [root], []
-    removed: list[str] = []  # open elements inside a removed one, the removed one first
     links, articles, at = 0, 0, 0
 
     def text(part: str) -> None:
-        if removed:
-            return
+        if node.tag == "head" and part.strip():
+            close(len(stack) - 1)
         value = unescape(part)
         pieces.append(value)
         n = len(" ".join(value.split()))
@@ -118,17 +133,6 @@ def parsed(html: str) -> tuple[Node, list[str]]:
             articles -= done.tag in ("article", "main")
         node, links = stack[-1], 0
 
-    def implied_ends(tag: str) -> None:
-        """Close the elements inside a removed one, or itself, that a start tag ends by implication."""
-        if tag in CLOSES_P and removed[-1] == "p":
-            removed.pop()
-        for depth in range(len(removed) - 1, -1, -1):
-            if removed[depth] in SAME_KIND.get(tag, ()):
-                del removed[depth:]
-                break
-            if removed[depth] in CONTAINERS:
-                break
-
     for m in _MARKUP.finditer(html):
         if m.start() > at:
             text(html[at : m.start()])
@@ -137,45 +141,33 @@ def parsed(html: str) -> tuple[Node, list[str]]:
         if not name:
             continue
         tag, ending, attrs = name.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
-        if removed:
-            if ending:
-                if tag in removed:
-                    while removed.pop() != tag:
-                        pass
-                    continue
-                if tag not in ("body", "html") and (tag in INLINE or all(n.tag != tag for n in stack[1:])):
-                    continue
-                removed.clear()  # the end of an open ancestor ends it
-            else:
-                implied_ends(tag)
-                if removed:
-                    if tag not in VOID and not attrs.endswith("/"):
-                        removed.append(tag)
-                    continue
         if ending:
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag not in INLINE:
+            if tag in INLINE and node.tag != tag:
+                links = max(0, links - 1) if tag == "a" else links
+            elif node.tag == tag and node.nested:
+                node.nested -= 1
+            else:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
                         close(depth)
                         break
             continue
-        if tag in ("html", "body", "head") and not is_removed(tag, "", False):
-            continue
-        if is_removed(tag, attrs, articles > 0):
-            if tag not in VOID and not attrs.endswith("/"):
-                removed.append(tag)
-            pieces.append("" if tag in INLINE else " ")
+        if node.tag == "head" and tag not in HEAD_ONLY:
+            close(len(stack) - 1)
+        if tag in ("html", "body"):
             continue
-        if tag in INLINE:
+        fate, comments = fate_of(tag, attrs, articles > 0)
+        empty = tag in VOID or (fate != STAYS and attrs.endswith("/"))
+        if tag in INLINE and (fate == STAYS or empty):
+            if node.tag == tag:
+                node.nested += 1  # an inline node holds another of its kind
             node.tags += 1
             if tag == "a":
                 links += 1
                 node.link_tags += 1
             continue
-        if tag in VOID:
-            node.tags += 1
+        if empty:
+            node.tags += fate == STAYS
             pieces.append(" ")
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
@@ -187,8 +179,9 @@ def parsed(html: str) -> tuple[Node, list[str]]:
                     break
                 if stack[depth].tag in CONTAINERS:
                     break
-        pieces.append(" ")
-        node = Node(tag, stack[-1], len(pieces))
+        if tag not in INLINE:
+            pieces.append(" ")
+        node = Node(tag, stack[-1], len(pieces), fate, comments)
         stack.append(node)
         articles += tag in ("article", "main")
     if at < len(html):
@@ -198,16 +191,58 @@ def parsed(html: str) -> tuple[Node, list[str]]:
     return root, pieces
 
 
-def measure(root: Node) -> list[Node]:
-    """Counts, densities and sums of all nodes; children come after their parents in the list."""
+def in_order(root: Node) -> list[Node]:
+    """All nodes, parents before their children."""
     nodes = [root]
     for n in nodes:
         nodes.extend(n.children)
+    return nodes
+
+
+def decide(root: Node) -> None:
+    """Unwrap the page: named elements stay without which almost nothing is left, the largest first."""
+    nodes = in_order(root)
+    under: dict[int, int] = {}  # characters of a node and below, parts that go in any case left out
+    for n in reversed(nodes):
+        under[id(n)] = n.chars + sum(under[id(x)] for x in n.children if x.fate != GOES)
+    reached = [root]
+    for n in reached:
+        reached.extend(x for x in n.children if x.fate != GOES)
+    named = [n for n in reached if n.fate == NAMED]
+    named.sort(key=lambda n: -under[id(n)])  # of equal ones the outermost first
+
+    def kept(n: Node) -> int:
+        total, todo = 0, [n]
+        for x in todo:
+            total += x.chars
+            todo.extend(y for y in x.children if y.fate == STAYS)
+        return total
+
+    left = kept(root)
+    for n in named:
+        if left < under[id(n)] * (LEFT_BY_COMMENTS if n.comments else LEFT):
+            n.fate = STAYS
+            left = kept(root)
+
+
+def without_removed(root: Node, pieces: list[str]) -> None:
+    """Take what goes out of the tree and the pieces."""
+    for n in in_order(root):
+        for x in n.children:
+            if x.fate != STAYS:
+                pieces[x.start : x.end] = [""] * (x.end - x.start)
+        n.children = [x for x in n.children if x.fate == STAYS]
+
+
+def measure(root: Node) -> list[Node]:
+    """Counts, densities and sums of all nodes; children come after their parents in the list."""
+    nodes = in_order(root)
     for n in reversed(nodes):
         if n.parent is not None:
             p = n.parent
             p.chars, p.link_chars = p.chars + n.chars, p.link_chars + n.link_chars
             p.tags, p.link_tags = p.tags + n.tags + 1, p.link_tags + n.link_tags
+            p.prose = p.prose or n.prose
     page = root.link_chars / max(root.chars, 1)
     for n in nodes:
         c, t, lc, lt = n.chars, max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
@@ -219,14 +254,12 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def holds_prose(n: Node) -> bool:
-    return n.tag in PROSE or any(holds_prose(x) for x in n.children)
-
-
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     root, pieces = parsed(html)
+    decide(root)
+    without_removed(root, pieces)
     nodes = measure(root)
     core = max(nodes, key=lambda n: n.total)  # of equal sums the outermost, first in the page
     if core.tag in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "tr", "tbody", "blockquote", "pre") and core.parent is not None:
@@ -239,7 +272,7 @@ def main_text(html: str | None) -> str:
     chosen = [core]
     for below, above in zip(path, path[1:]):
         for n in above.children:
-            if n is not below and n.chars and n.density >= threshold and 3 * n.link_chars <= n.chars and holds_prose(n):
+            if n is not below and n.chars and n.density >= threshold and 3 * n.link_chars <= n.chars and n.prose:
                 chosen.append(n)
     chosen.sort(key=lambda n: n.start)
     return " ".join(" ".join("".join(pieces[n.start : n.end]) for n in chosen).split())
@@ -250,7 +283,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a, b in text_slices(whole.column(2), 4 << 20):
+            for a, b in text_slices(whole.column(2)):
                 batch = whole.slice(a, b - a)
                 texts = [main_text(html) for html in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
