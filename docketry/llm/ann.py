@@ -1,13 +1,18 @@
 """Approximate nearest neighbours: a forest of random-projection trees with one priority queue per query.
 
-The trees are fitted on a bounded sample (``SAMPLE_ROWS`` vectors, the first by a hash of their ids): each inner
-node has a random direction and the median of the sample along it.  Every vector is indexed in every tree.  A query
-walks all trees at once: one queue holds the open nodes of all trees by the smallest margin on the way to them, and
-leaves are taken from it until the vectors that they are expected to hold together are ``SHARE`` of all.  Candidates
-of the leaves are reranked by the exact inner product in double precision.
+Every tree has one random direction for each level; a node divides its vectors at a threshold along it.  Depth grows
+with the logarithm of the table, so that leaves hold about ``LEAF_ROWS`` vectors whatever its size.  Thresholds are
+medians of a bounded sample (``SAMPLE_ROWS`` vectors, the first by a hash of their ids): one for each node of the
+first ``NODE_LEVELS`` levels, one for each level below.  Every vector is indexed in every tree.
 
-Leaves are joined in blocks: a leaf of many vectors or many queries is split by hashes of the ids, so that a task
-holds at most about ``BLOCK_ROWS`` of either, and only the nearest ``k`` of a block leave it.
+A query walks all trees at once: one queue holds the open nodes of all trees by the largest margin on the way to
+them, and leaves are taken from it in that order.  How many is measured, not set: the true neighbours of
+``TRIAL_QUERIES`` queries, found by brute force over all rows, tell after how many leaves the share ``RECALL`` of
+them is met.  Candidates of the leaves are reranked by the exact inner product in double precision.
+
+Leaves are searched where they lie: a task holds one part of a tree (about ``PART_ROWS`` vectors, a subtree) and the
+queries that visit leaves of it, and returns one row of at most ``k`` candidates for each.  Parts of more vectors
+(copies of one vector cannot be divided) or more queries are split by hashes of the ids.
 
 Defined results: vectors that are null, zero, of another length than the sample's most frequent, or hold null or
 non-finite components take no part, and neither do null ids; rows that share an id are one candidate (with its best
@@ -23,84 +28,90 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import read, stored
+from docketry.llm.common import batch_rows, dropped, read, small_batches, stored
 
-TREES, DEPTH, SHARE = 24, 6, 0.64
-#: At least so many candidates, so that small tables are searched whole.
-LEAST_CANDIDATES = 1500
-SAMPLE_ROWS, BLOCK_ROWS, SEED = 20_000, 4096, 7
+TREES, LEAF_ROWS, NODE_LEVELS = 16, 48, 9
+SAMPLE_ROWS, TRIAL_QUERIES, RECALL = 16_384, 96, 0.94
+PART_ROWS, BLOCK_ROWS, BLOCK_QUERIES, SEED = 16_384, 32_768, 4096, 7
+#: Leaves that a trial query is followed for at most.
+TRIAL_LEAVES = 200_000
+VECTOR_ROWS = 2000
 
 
 @dataclass
 class Forest:
-    """``directions`` [tree, node, dimension] and ``thresholds`` [tree, node]; children of node i are 2i+1 and 2i+2."""
+    """``directions`` [tree, level, dimension]; thresholds of the upper nodes [tree, node] and of levels [tree, level].
+
+    A node is the number made of the turns to it; node ``i`` of level ``l`` has the threshold ``2 ** l - 1 + i``.
+    """
 
     directions: np.ndarray
-    thresholds: np.ndarray
+    node_thresholds: np.ndarray
+    level_thresholds: np.ndarray
 
     @property
-    def dimension(self) -> int:
-        return self.directions.shape[2]
+    def depth(self) -> int:
+        return self.directions.shape[1]
 
     @classmethod
-    def fit(cls, sample: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> Forest:
-        rng, inner = np.random.default_rng(SEED), 2**depth - 1
-        directions = rng.normal(size=(trees, inner, sample.shape[1]))
-        thresholds = np.zeros((trees, inner))
+    def fit(cls, sample: np.ndarray, depth: int, trees: int = TREES) -> Forest:
+        rng = np.random.default_rng(SEED)
+        directions = rng.normal(size=(trees, depth, sample.shape[1]))
+        directions /= np.linalg.norm(directions, axis=2, keepdims=True)
+        upper = min(depth, NODE_LEVELS)
+        nodes, levels = np.zeros((trees, 2**upper - 1)), np.zeros((trees, depth))
         for t in range(trees):
-            node = np.zeros(len(sample), int)
-            for i in range(inner):
-                mine = np.flatnonzero(node == i)
-                if len(mine):
-                    along = sample[mine] @ directions[t, i]
-                    thresholds[t, i] = np.median(along)
-                    node[mine] = 2 * i + 1 + (along > thresholds[t, i])
-        return cls(directions, thresholds)
+            along = sample @ directions[t].T
+            node = np.zeros(len(sample), np.int64)
+            for level in range(depth):
+                levels[t, level] = np.median(along[:, level])
+                if level >= upper:
+                    continue
+                order = np.argsort(node, kind="stable")
+                cuts = np.searchsorted(node[order], np.arange(2**level + 1))
+                first = 2**level - 1
+                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    nodes[t, first + i] = np.median(along[order[a:b], level]) if b > a else levels[t, level]
+                node = 2 * node + (along[:, level] > nodes[t, first + node])
+        return cls(directions, nodes, levels)
+
+    def threshold(self, tree: int, level: int, node):
+        """Threshold of a node, or of each of several."""
+        if 2**level - 1 < self.node_thresholds.shape[1]:
+            return self.node_thresholds[tree, 2**level - 1 + node]
+        return self.level_thresholds[tree, level]
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """[vector, tree]: the leaf that each vector falls into."""
-        trees, inner = self.thresholds.shape
-        out = np.zeros((len(vectors), trees), np.int32)
-        for t in range(trees):
-            node, margins = np.zeros(len(vectors), int), vectors @ self.directions[t].T - self.thresholds[t]
-            while len(node) and node[0] < inner:
-                node = 2 * node + 1 + (margins[np.arange(len(node)), node] > 0)
-            out[:, t] = node - inner
+        out = np.zeros((len(vectors), len(self.directions)), np.int64)
+        for t, directions in enumerate(self.directions):
+            along, node = vectors @ directions.T, np.zeros(len(vectors), np.int64)
+            for level in range(self.depth):
+                node = 2 * node + (along[:, level] > self.threshold(t, level, node))
+            out[:, t] = node
         return out
 
-    def search(self, query: np.ndarray, counts: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs in the order of the shared queue; ``counts`` [tree, leaf] are vectors of each leaf."""
-        trees, inner = self.thresholds.shape
-        margins = self.directions @ query - self.thresholds
-        total = max(int(counts[0].sum()), 1)
-        missed, found = np.full(trees, total), []
-        queue = [(-math.inf, t, 0) for t in range(trees)]
+    def search(self, query: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(tree, leaf) pairs in the order of the queue that all trees share."""
+        along = self.directions @ query
+        queue = [(-math.inf, t, 0, 0) for t in range(len(self.directions))]
         while queue:
-            bound, t, node = heapq.heappop(queue)
-            if node < inner:
-                m = margins[t, node]
-                heapq.heappush(queue, (max(bound, -m), t, 2 * node + 2))
-                heapq.heappush(queue, (max(bound, m), t, 2 * node + 1))
-                continue
-            leaf = node - inner
-            if not counts[t, leaf]:
-                continue
-            found.append((t, leaf))
-            missed[t] -= counts[t, leaf]
-            if not missed[t]:
-                break  # a whole tree: all vectors
-            outside = float(np.prod(missed / total)) if total > least else 1.0
-            if 1 - outside >= share and (1 - outside) * total >= least:
-                break
-        return found
+            bound, t, level, node = heapq.heappop(queue)
+            while level < self.depth:  # the nearer side of a node is as near as the node
+                m = along[t, level] - self.threshold(t, level, node)
+                far, node = (2 * node, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node)
+                level += 1
+                heapq.heappush(queue, (max(bound, abs(m)), t, level, far))
+            yield t, node
 
 
 def usable(embeddings: DataFrame, dimension: int) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v) of the vectors that take part; floats stay floats."""
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return rows.where((F.size("v") == dimension) & finite & F.exists("v", lambda x: x != 0))
@@ -109,110 +120,177 @@ def usable(embeddings: DataFrame, dimension: int) -> DataFrame:
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _block(ids: np.ndarray, n_blocks: np.ndarray) -> np.ndarray:
-    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (mixed % n_blocks.astype(np.uint64)).astype(np.int32)
+def hashed_first(rows: DataFrame, n_rows: int, n: int, seed: str) -> list:
+    """About the first ``n`` of ``n_rows`` rows by a hash of their ids: a task sends only its share to the driver."""
+    h = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 40))
+    bound = int((1 << 40) * min(1.0, (n + 4 * math.sqrt(n)) / max(n_rows, 1)))
+    return sorted(rows.where(h < bound).select("vec_id", "v").collect(), key=lambda r: (r.vec_id, r.v))
+
+
+def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of different ids, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+
+
+def exact_top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the nearest; ``rough`` are the inner products, as far as their order may be trusted."""
+    rough = np.where(ids == own, -np.inf, rough)
+    n = k + len(ids) - len(np.unique(ids))  # rows that share an id count once
+    edge = np.partition(rough, len(rough) - n)[len(rough) - n] if len(rough) > n else -np.inf
+    near = np.flatnonzero((rough >= edge - 1e-9 * max(1.0, abs(edge))) & (rough > -np.inf)) if edge > -np.inf else np.flatnonzero(rough > -np.inf)
+    exact = (x[near] * q).sum(axis=1)
+    best = top(exact, ids[near], k)
+    return ids[near][best], exact[best]
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 20) -> DataFrame:
+def leaves_to_visit(rows: DataFrame, trials: list, forest: Forest, k: int) -> int:
+    """After how many leaves of its queue a trial query has met ``RECALL`` of its ``k`` true neighbours, over all."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in trials]), np.array([r.v for r in trials], float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, q = shared.value
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, q.shape[1])))] * len(q)
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for i, rough in enumerate(q @ x.T if len(ids) else []):
+                some = np.flatnonzero(ids != ids_of[i])
+                a, b, c = np.concatenate((best[i][0], ids[some])), np.concatenate((best[i][1], rough[some])), np.concatenate((best[i][2], x[some]))
+                keep = top(b, a, k)
+                best[i] = a[keep], b[keep], c[keep]
+        found = [(i, int(a), float(b), c.tolist()) for i, x in enumerate(best) for a, b, c in zip(*x)]
+        columns = zip(*found) if found else [()] * 4
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["trial", "vec_id", "score", "v"])
+
+    with batch_rows(spark, VECTOR_ROWS):
+        found = rows.mapInArrow(run, "trial int, vec_id long, score double, v array<double>")
+        # Merged in the executors first, so that the driver gets k rows for each trial query.
+        best = found.groupBy("trial").agg(F.slice(F.sort_array(F.collect_set(F.struct("score", "vec_id", "v")), asc=False), 1, k).alias("best"))
+        best = {r.trial: r.best for r in best.collect()}
+    ranks = []
+    for i, r in enumerate(trials):
+        neighbours = best.get(i, [])
+        if not neighbours:
+            continue
+        where = forest.leaves(np.array([x.v for x in neighbours]))
+        missing, wanted = set(range(len(neighbours))), {}
+        for j, leaves in enumerate(where.tolist()):
+            for t, leaf in enumerate(leaves):
+                wanted.setdefault((t, leaf), []).append(j)
+        for n, leaf in enumerate(forest.search(np.array(r.v, float)), 1):
+            met = missing.intersection(wanted.get(leaf, ()))
+            ranks += [n] * len(met)
+            missing -= met
+            if not missing or n >= TRIAL_LEAVES:
+                ranks += [n] * len(missing)
+                break
+    return sorted(ranks)[min(len(ranks) - 1, math.ceil(RECALL * len(ranks)))] if ranks else 1
+
+
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row that ``is_query`` holds for."""
     spark = embeddings.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sized = embeddings.where("vec_id is not null and size(embedding) > 0").orderBy(F.xxhash64("vec_id"), "vec_id")
-    sample = [r.v for r in sized.select(F.col("embedding").cast("array<double>").alias("v")).limit(SAMPLE_ROWS).collect()]
-    sample = [v for v in sample if all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    if not sample:
+    sizes = embeddings.where("vec_id is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count()
+    usual = sizes.orderBy(F.col("count").desc(), "n").first()
+    if usual is None:
+        return empty
+    rows = usable(embeddings, usual.n)
+    n_rows, n_queries = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    if not n_queries:
         return empty
-    lengths = [len(v) for v in sample]
-    dimension = max(sorted(set(lengths)), key=lengths.count)
-    forest = Forest.fit(np.array([v for v in sample if len(v) == dimension]))
-    shared = spark.sparkContext.broadcast((forest.directions, forest.thresholds))
-    rows = usable(embeddings, dimension)
+    depth = max(0, round(math.log2(n_rows / LEAF_ROWS)))
+    forest = Forest.fit(np.array([r.v for r in hashed_first(rows, n_rows, SAMPLE_ROWS, "sample")] or [[0.0] * usual.n], float), depth)
+    budget = leaves_to_visit(rows, hashed_first(rows.where(is_query), n_queries, TRIAL_QUERIES, "trial") or rows.where(is_query).limit(1).collect(), forest, k)
+    part_levels = min(depth, max(0, math.ceil(math.log2(n_rows / PART_ROWS))))
+    shared = spark.sparkContext.broadcast((forest.directions, forest.node_thresholds, forest.level_thresholds))
+    kind = rows.schema["v"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Forest(*shared.value)
         for batch in batches:
             leaves = trees.leaves(_matrix(batch.column(1)))
             n, t = leaves.shape
-            at = pa.array(np.repeat(np.arange(n), t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(leaves.ravel()), batch.column(0).take(at), batch.column(1).take(at)],
-                ["tree", "leaf", "vec_id", "v"],
-            )
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    indexed = stored(rows.mapInArrow(index, "tree int, leaf int, vec_id long, v array<double>"), "ann-index")
-    counts = np.zeros((TREES, 2**DEPTH), np.int64)
-    for r in indexed.groupBy("tree", "leaf").count().collect():  # at most one row for each leaf of the fixed forest
-        counts[r.tree, r.leaf] = r["count"]
-    sizes = spark.sparkContext.broadcast(counts)
+            at, leaf = pa.array(np.repeat(np.arange(n), t)), leaves.ravel()
+            columns = [np.tile(np.arange(t, dtype=np.int32), n), leaf >> (depth - part_levels), leaf]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0).take(at), batch.column(1).take(at)], ["tree", "part", "leaf", "id", "v"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Forest(*shared.value)
         for batch in batches:
-            vectors = _matrix(batch.column(1))
-            found = [trees.search(v, sizes.value, SHARE, LEAST_CANDIDATES) for v in vectors]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            tree, leaf = np.array([p for f in found for p in f], np.int32).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tree), pa.array(leaf), batch.column(0).take(at), batch.column(1).take(at)], ["tree", "leaf", "query_id", "v"]
-            )
-
-    spread = rows.where(is_query).repartition(F.col("vec_id"))
-    visits = stored(spread.mapInArrow(search, "tree int, leaf int, query_id long, v array<double>"), "ann-visits")
-    asked = np.zeros((TREES, 2**DEPTH), np.int64)
-    for r in visits.groupBy("tree", "leaf").count().collect():
-        asked[r.tree, r.leaf] = r["count"]
-    blocks = [np.maximum(1, -(-x // BLOCK_ROWS)) for x in (counts, asked)]
-    grid = spark.sparkContext.broadcast(blocks)
-
-    def dealt(own: int):
-        """Give each row its block on its own side and a copy for every block of the other side."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                tree, leaf, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                mine, others = grid.value[own][tree, leaf], grid.value[1 - own][tree, leaf]
-                at = np.repeat(np.arange(len(ids)), others)
-                other = (np.arange(len(at)) - np.repeat(np.cumsum(others) - others, others)).astype(np.int32)
-                sides = [_block(ids, mine)[at], other]
-                take = pa.array(at)
-                columns = [pa.array(sides[own]), pa.array(sides[1 - own])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns, batch.column(2).take(take), batch.column(3).take(take)], ["tree", "leaf", "vb", "qb", "id", "v"])
-
-        return run
-
-    kinds = "tree int, leaf int, vb int, qb int, id long, v array<double>"
-    left = indexed.mapInArrow(dealt(0), kinds).groupBy("tree", "leaf", "vb", "qb")
-    right = visits.mapInArrow(dealt(1), kinds).groupBy("tree", "leaf", "vb", "qb")
+            found: list[tuple[int, int, int, list[int]]] = []
+            for i, v in enumerate(_matrix(batch.column(1))):
+                parts: dict[tuple[int, int], list[int]] = {}
+                for _, (t, leaf) in zip(range(budget), trees.search(v)):
+                    parts.setdefault((t, leaf >> (depth - part_levels)), []).append(leaf)
+                found += [(i, t, part, sorted(leaves)) for (t, part), leaves in parts.items()]
+            at, tree, part, leaves = zip(*found) if found else [()] * 4
+            at = pa.array(at, pa.int64())
+            columns = [pa.array(tree, pa.int32()), pa.array(part, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], ["tree", "part", "leaves", "id", "v"])
+
+    with batch_rows(spark, VECTOR_ROWS):
+        indexed = stored(rows.mapInArrow(index, f"tree int, part long, leaf long, id long, v {kind}"), "ann-index")
+        asked = rows.where(is_query).repartition(F.col("vec_id"))
+        visits = stored(asked.mapInArrow(search, f"tree int, part long, leaves array<long>, id long, v {kind}"), "ann-visits")
+    key = ["tree", "part"]
+    held = indexed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("vbs"))
+    held = held.join(visits.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qbs")), key)
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in its block on its own side, once for every block of the other side."""
+        t = side.join(held, key).withColumn(own, F.pmod(F.xxhash64("id"), F.col(own + "s")).cast("int"))
+        return t.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1))).drop("vbs", "qbs").groupBy("tree", "part", "vb", "qb")
 
     def rerank(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
+        found: list[tuple] = []
         if len(vectors) and len(queries):
-            ids, x = vectors.column("id").to_numpy(), _matrix(vectors.column("v"))
-            asked_ids, q = queries.column("id").to_numpy(), _matrix(queries.column("v"))
-            depth = k + len(ids) - len(np.unique(ids))  # rows that share an id count once
-            for a in range(0, len(q), 256):
-                rough = q[a : a + 256] @ x.T
-                for i, row in enumerate(rough):
-                    row[ids == asked_ids[a + i]] = -math.inf
-                    edge = np.partition(row, len(row) - depth)[len(row) - depth] if len(row) > depth else -math.inf
-                    near = np.flatnonzero((row >= edge - 1e-9) & (row > -math.inf))
-                    exact = (x[near] * q[a + i]).sum(axis=1)
-                    best = np.lexsort((ids[near], -exact))
-                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
-                    out.append(np.stack([np.full(len(best), asked_ids[a + i]), ids[near][best], exact[best].view(np.int64)]))
-        flat = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": np.ascontiguousarray(flat[2]).view(np.float64)})
-
-    found = left.cogroup(right).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            leaf = vectors.column("leaf").to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            leaf, ids, x = leaf[order], vectors.column("id").to_numpy()[order], _matrix(vectors.column("v"))[order]
+            asked = queries.column("id").to_pylist()
+            for own, leaves, q in zip(asked, queries.column("leaves").to_pylist(), _matrix(queries.column("v"))):
+                first, last = np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, side="right")
+                runs = [(a, b) for a, b in zip(first.tolist(), last.tolist()) if b > a]
+                if not runs:
+                    continue
+                rough = np.concatenate([x[a:b] @ q for a, b in runs])
+                at = np.concatenate([np.arange(a, b) for a, b in runs])
+                if len(at) > 4 * k and k:
+                    best = np.flatnonzero(rough >= np.partition(rough, len(rough) - 2 * k)[len(rough) - 2 * k] - 1e-9)
+                    if len(np.unique(ids[at[best]])) > k:  # the own id may be among them
+                        at, rough = at[best], rough[best]
+                near, exact = exact_top(x[at], ids[at], q, own, rough, k)
+                if len(near):
+                    found.append((own, near.tolist(), exact.tolist()))
+        columns = zip(*found) if found else [()] * 3
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "ids", "scores"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for own, ids, scores in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, scores = np.concatenate([np.array(x, np.int64) for x in ids]), np.concatenate(scores)
+                out += [(own, rank, int(ids[i]), float(scores[i])) for rank, i in enumerate(top(scores, ids, k), 1)]
+            columns = zip(*out) if out else [()] * 4
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "rank", "vec_id", "score"])
+
+    found = dealt(indexed, "vb", "qb").cogroup(dealt(visits, "qb", "vb")).applyInArrow(rerank, "query_id long, ids array<long>, scores array<double>")
+    with batch_rows(spark, VECTOR_ROWS):
+        found = stored(found, "ann-found")
+    dropped(indexed, visits)
+    small_batches(spark)
+    # A query has at most one row for each leaf of its budget.
+    lists = found.groupBy("query_id").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
+    return lists.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
