@@ -129,11 +129,32 @@ def test_exact_dedup(odd, odd_rows, none):
         rows = exact_dedup.assign(odd, n_bytes).select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("h"), "kept").collect()
         assert sorted(((r.doc_id, r.keep_id, r.group_size, r.h) for r in rows), key=repr) == expect
         assert all(r.kept == (r.doc_id == r.keep_id) for r in rows)
-    kept = exact_dedup.deduplicated(odd)
-    assert kept.columns == odd.columns and kept.count() == len(groups)
+    clash = odd.withColumn("_digest", F.lit(1)).withColumn("digest", F.lit(2)).withColumn("_sha", F.lit(3)).withColumn("row", F.lit(4)).withColumn("keep_id", F.lit(5))
+    for n_bytes in (32, 1):
+        kept = exact_dedup.deduplicated(clash, n_bytes)
+        assert kept.columns == clash.columns and {(r._digest, r.digest, r.row) for r in kept.collect()} == {(1, 2, 4)}
+        got = sorted((-len(r.text or ""), r.doc_id is not None, r.doc_id or 0) for r in kept.collect())
+        assert got == sorted(min(g)[:3] for g in groups.values())
     assert exact_dedup.assign(none).count() == 0
 
 
+def test_mixed_documents_are_those_of_the_mix(spark, odd):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 9)), None if i % 9 == 0 else f"s{i % 5}", 1, 2) for i in range(2500)] + [(None, "a b", "s1", 1, 2)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, u int, last int").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 2500, 3)] + [(None, 1)], "doc_id long, quality int")
+    for lab in (None, labels):
+        takes = {(r.doc_id, r.size): r.copies for r in mixing.mix(docs, lab).collect() if r.copies and r.doc_id is not None}
+        mixed = mixing.mixed_documents(docs, lab)
+        assert mixed.columns == docs.columns
+        counts = defaultdict(int)
+        for r in mixed.collect():
+            if r.doc_id is not None:
+                counts[r.doc_id, len(r.text.split())] += 1
+        assert counts == takes
+    assert mixing.mixed_documents(odd.withColumn("row", F.lit(1)).withColumn("extra", F.lit(2)), labels).columns[-2:] == ["row", "extra"]
+
+
 def test_mixing_targets_and_determinism(spark, odd, none):
     rows = [(i, "w " * (1 + i % 7), "big" if i % 3 else f"s{i % 5}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
@@ -223,7 +244,8 @@ def test_html_text():
     assert html_text.main_text("a<b>c</b>d<br>e") == "acd e"
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RECALL", 1.0)  # all queries are trial queries here: brute force to the last neighbour
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(400 + i, [1.0] * 8) for i in range(60)]
     data += [(500, None), (501, [0.0] * 8), (502, [float("nan")] * 8), (503, [1.0]), (504, [None] * 8), (None, [1.0] * 8), (400, [1.0] * 8)]
@@ -238,6 +260,49 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def recall_of(table, data, want_queries, k=20):
+    got = defaultdict(set)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in want_queries:
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores, kind="stable")[:k].tolist()))
+    return hits / (k * len(want_queries))
+
+
+def test_nearest_recall_with_a_small_part_of_the_table(spark, monkeypatch):
+    """12,000 vectors in clusters, with production parameters: recall of 0.9 from a twentieth of the table."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(300, 32))
+    data = (centres[rng.integers(0, 300, 12_000)] + 0.25 * rng.normal(size=(12_000, 32))).astype(np.float32).astype(float)
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(4)
+    budgets, visit = [], ann.leaves_to_visit
+    monkeypatch.setattr(ann, "leaves_to_visit", lambda *x: budgets.append(visit(*x)) or budgets[-1])
+    assert recall_of(table, data, range(0, 12_000, 20)) >= 0.9
+    depth = round(np.log2(12_000 / ann.LEAF_ROWS))
+    assert budgets[0] / 2**depth < 0.05  # leaves of a tree are equal shares of the table
+
+
+def test_nearest_splits_hot_parts(spark, monkeypatch):
+    """Copies of one vector, which no tree can divide, in parts and blocks of few rows."""
+    for name, value in (("PART_ROWS", 100), ("BLOCK_ROWS", 64), ("BLOCK_QUERIES", 8), ("LEAF_ROWS", 16)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(6)
+    data = np.concatenate([np.tile(rng.normal(size=8), (300, 1)), rng.normal(size=(600, 8))])
+    data = data[rng.permutation(900)]
+    table = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(data)], "vec_id long, embedding array<double>, id string").repartition(3)
+    rows = ann.nearest(table, F.col("vec_id") % 20 == 0).collect()
+    assert all(math.isclose(r.score, float((data[r.query_id] * data[r.vec_id]).sum()), rel_tol=1e-12, abs_tol=1e-12) for r in rows)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.query_id].append((-r.score, r.vec_id, r.rank))
+    assert set(by) == set(range(0, 900, 20)) and all(len(v) == 20 and [x[2] for x in sorted(v)] == list(range(1, 21)) for v in by.values())
+    assert recall_of(table, data, range(0, 900, 20)) >= 0.85  # ties that brute force orders by place
+
+
 def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(5)
     vocabulary = [f"v{i}" for i in range(300)]
