@@ -25,6 +25,17 @@ def clip(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
+# The words of a case's text for encoders.
+EMBED_BEHAVIOUR, EMBED_SUMMARY, EMBED_NOTHING, EMBED_CHARS = "违规行为：", "案件总结：", "保险监管处罚案例", 2000
+
+
+def embed_text(behaviour: Column, summary: Column) -> Column:
+    """What encoders read of a case: its behaviour and its summary, if that says more."""
+    vb, said = (strip(F.coalesce(c, F.lit(""))) for c in (behaviour, summary))
+    parts = F.concat_ws("\n", F.when(vb != "", F.concat(F.lit(EMBED_BEHAVIOUR), vb)), F.when((said != "") & (said != vb), F.concat(F.lit(EMBED_SUMMARY), said)))
+    return F.when(parts == "", EMBED_NOTHING).otherwise(F.substring(parts, 1, EMBED_CHARS))
+
+
 def numbered(prefix: str, n: Column) -> Column:
     """Zero-padded id; longer numbers keep all their digits."""
     return F.format_string(prefix + "%06d", n)

@@ -54,23 +54,35 @@ ALIASES = {
 }
 # Key words of tags, literal or pattern.
 KEYWORDS = {
-    "合同外利益": ["合同约定以外", "合同外利益", "体检卡", "加油卡", "洗车券", "代金券", "油卡", "保费优惠", "首年.*折", "预交.*保费", "预缴.*保费"],
+    "合同外利益": [
+        "合同约定以外", "合同外利益", "赠送体检卡", "赠送加油卡", "赠送洗车券", "体检卡", "加油卡", "洗车券", "代金券", "油卡", "保费优惠", "首年.*折", "预交.*保费", "预缴.*保费",
+    ],
     "赠送利益": ["赠送礼品", "赠送服务", "免费领", "领取礼品", "赠送油卡", "赠送代金券"],
     "回扣返佣": ["返佣", "回扣", "返现", "预缴费打折", "缴费打折", r"\d折"],
     "销售误导": ["销售误导", "误导性", "引人误解", "储蓄计划", "把钱从银行", "利息.*倍", "像存款"],
     "欺骗投保人": ["欺骗投保人", "虚假告知", r"不履行.{0,24}如实告知", "诱导投保人不履行"],
-    "夸大收益": ["夸大收益", "最高收益", "稳赚", "年化收益", "收益翻倍", "比存银行", r"夸大.{0,8}收益"],
-    "承诺收益": ["承诺收益", "保本保息", "保证回报", "一定赚钱", r"承诺.{0,10}收益"],
+    "夸大收益": ["夸大收益", "最高收益", "稳赚", "年化收益", "翻好几倍", "收益翻倍", "比存银行", r"夸大.{0,8}收益", r"夸大.{0,8}(?:保单|产品|服务)"],
+    "承诺收益": ["承诺收益", "保本保息", "保证回报", "一定赚钱", "买了肯定不亏", r"承诺.{0,10}收益", r"承诺(?:给予|保证).{0,10}(?:利益|回报)"],
     "保证收益": ["保证收益", "保证收益率", "稳赚不赔", "保证年化"],
     "弱化风险提示": ["不用担心", "无风险", "零风险", "弱化风险", "完全无风险", "比银行更安全", "免责.*不重要"],
     "隐瞒重要信息": ["未充分告知", "未向投保人说明", "隐瞒与保险合同"],
+    "虚构收益率": ["虚构收益", "编造收益", "伪造收益", "虚构分红", "夸大分红", "分红数值", "共同分红率", "错误介绍保险产品收益", r"虚构.{0,8}分红"],
+    "绝对化表述": ["行业领先", "全国第一", "独一无二", "行业第一", "排名第一", "市场唯一", "全国唯一", "绝对领先"],
     "虚假宣传": ["虚假宣传", "夸大宣传", "未经.*备案的宣传"],
     "产品说明会违规": ["产品说明会", "产说会"],
-    "培训材料违规": ["培训材料", "培训话术", "培训PPT", "培训课件", "培训班"],
+    "培训材料违规": ["培训材料", "培训话术", "培训PPT", "培训课件", "培训班", r"培训.{0,10}课件"],
     "电销违规": ["电销", "电话销售"],
+    "不当比较": [
+        "不当对比", "不当类比", "比存款", "比理财更安全", "片面比较", r"(?:收益|利益|分红).{0,15}(?:存款|银行|证券|理财).{0,10}(?:比较|类比)",
+        r"(?:存款|银行).{0,15}(?:比较|类比)",
+    ],
+    "贬低竞品": ["贬低竞品", "诋毁同业", "同业负面"],
     "诱导投保": ["诱导投保", "限时抢购", "名额有限", "限时限额", "即将停售", "并未停售"],
+    "避债避税": ["避债", "避税", "规避债务", "收益免税"],
+    "回访违规": ["阻碍.*回访", "阻挠.*回访", "回访过程中", r"回访.{0,6}(?:问题|电话)", r"诱导.{0,10}回访", "回访对象非", "回访记录"],
     "虚列费用套取资金": ["虚列费用", "套取费用", "虚假列支", "虚挂中介"],
-    "代理人管理不到位": ["代理人管理", "执业登记", "资格证书", "执业证书", "展业证", "未按规定进行执业"],
+    "代理人管理不到位": ["代理人管理", "执业登记", "资格证书", "执业证书", "展业证", "未按规定进行执业", "职业登记管理不规范", "对代理人培训不到位"],
+    "委托无资质机构销售": ["委托无资质", "无资质机构", r"委托.{0,20}(?:机构|公司|平台).{0,12}(?:销售|代理)"],
     "未按规定使用费率条款": ["费率条款", "未按规定使用", "擅自变更.*条款"],
     "客户信息不真实": ["客户信息不真实", "回访记录造假"],
 }

@@ -150,9 +150,26 @@ def refine_tags(spark, sf_dir):
     return refined(d, "raw", "text").select("id", F.array_join("refined", ",").alias("tags"))
 
 
-@query("select doc_id, final, final >= 0.5 is_insurance from (select doc_id, 0.0::double final from documents)")
+FILTER_PARTIES = ["平安财产保险公司", "某银行股份公司泰康在线", "张三", "阳光保险经纪"]
+
+
+def _score_sql(text: str, terms: list[str], other: str | None = None) -> str:
+    """SQL for the score of the longest term in a text, or without one in another text."""
+    of = lambda t: f"list_max(list_transform(list_filter([{', '.join(repr(x) for x in terms)}], lambda w: contains({t}, w)), lambda w: length(w)))"
+    longest = f"coalesce({of(text)}, {of(other)})" if other else of(text)
+    return f"(case when {longest} >= 6 then 1.0 when {longest} >= 4 then 0.9 when {longest} >= 3 then 0.75 when {longest} is not null then 0.55 else 0.0 end)::double"
+
+
+@query(f"""with c as (select doc_id, coalesce([{', '.join(repr(x) for x in FILTER_PARTIES)}][doc_id % 5 + 1], '') party, text || case when doc_id % 3 = 0 then '退保' when doc_id % 3 = 1 then '重疾险与犹豫期' else '' end behaviour,
+    case when doc_id % 7 = 0 then '保险法' when doc_id % 7 = 1 then '保险公司管理规定' else '' end basis from documents),
+s as (select doc_id, {_score_sql('party', C.ENTITY_TERMS, 'behaviour')} e, {_score_sql("(behaviour || ' ' || party || ' ' || basis)", C.BUSINESS_TERMS)} b,
+  {_score_sql('basis', C.REGULATORY_TERMS, 'behaviour')} r, {_score_sql('party', C.EXCLUDE_TERMS)} x from c)
+select doc_id, round(e * 0.4 + b * 0.35 + r * 0.25, 6) final, round(e * 0.4 + b * 0.35 + r * 0.25, 6) >= 0.5 and x = 0 is_insurance, e + b + r > 0 and x = 0 is_candidate from s""")
 def corpus_filter(spark, sf_dir):
-    """The dictionary filter over a whole table."""
-    d = table(spark, sf_dir, "documents")
-    s = C.dictionary_scores(F.col("source"), F.col("text"), F.lit(None).cast("string"))
-    return d.select("doc_id", s["final"].alias("final"), s["is_insurance"].alias("is_insurance"))
+    """The dictionary filter over a whole table: parties, bases and terms of the trade added to its texts."""
+    i = F.col("doc_id")
+    party = F.try_element_at(F.array(*[F.lit(x) for x in FILTER_PARTIES]), (i % 5 + 1).cast("int"))
+    behaviour = F.concat("text", F.when(i % 3 == 0, "退保").when(i % 3 == 1, "重疾险与犹豫期").otherwise(""))
+    basis = F.when(i % 7 == 0, "保险法").when(i % 7 == 1, "保险公司管理规定")
+    s = C.dictionary_scores(party, behaviour, basis)
+    return table(spark, sf_dir, "documents").select("doc_id", *[s[n].alias(n) for n in ("final", "is_insurance", "is_candidate")])

@@ -58,12 +58,23 @@ def overall_risk(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("sev") > 0).alias("n_risky"), V.overall(F.max("sev")).alias("overall_risk"))
 
 
-OCR = [(1, "当当事事人人：：中中国国人人寿寿保保险险股股份份有有限限公公司司"), (2, "当 事 人：张三\r\n\r\n\r\n\r\n罚款5万元"), (3, "好好学习"), (4, "plain text\nnext  line")]
+OCR = [
+    (1, "当当事事人人：：中中国国人人寿寿保保险险股股份份有有限限公公司司", "当事人：：中国人寿保险股份有限公司"),
+    (2, "当 事 人：张三\r\n\r\n\r\n\r\n罚款5万元", "当事人：张三\n\n罚款5万元"),
+    (3, "好好学习", "好学习"),
+    (4, "plain text\nnext  line\n", "plain text\nnext  line\n"),
+    (5, "行行政政处处罚罚详见附件说明内容较长不应整体折叠的正常文字部分谢谢", "行政处罚详见附件说明内容较长不应整体折叠的正常文字部分谢谢"),
+    (6, "被处罚当 甲保险公司北京\n名称\n事人单 市宣武支公司\n位", "被处罚当事人 甲保险公司北京市宣武支公司"),
+    (7, "1.虚列费用\n2.返佣\n主要违法违规事实：\n罚款", "主要违法违规事实：\n1.虚列费用\n2.返佣\n罚款"),
+    (8, "行政处罚决定给予警告\n受处罚当 事人张三", "行政处罚决定 给予警告\n受处罚当事人 张三"),
+    (9, None, ""),
+    (10, " \n", " \n"),
+]
 
 
-@query(f"select * from {values('id, text', [(1, '当事人：：中国人寿保险股份有限公司'), (2, '当事人：张三' + chr(10) * 2 + '罚款5万元'), (3, '好学习'), (4, 'plain text' + chr(10) + 'next  line')])}")
+@query(f"select * from {values('id, text', [(r[0], r[2]) for r in OCR])}")
 def ocr_normalize(spark, sf_dir):
-    return rows(spark, "id int, text string", OCR).select("id", V.normalize_ocr(F.col("text")).alias("text"))
+    return rows(spark, "id int, text string", [r[:2] for r in OCR]).select("id", V.normalize_ocr(F.col("text")).alias("text"))
 
 
 DECISIONS = [
@@ -118,9 +129,14 @@ def table_records(spark, sf_dir):
     return r.select("file", F.col("record").cast("int").alias("record"), F.col("party_name").alias("party"), F.col("violation_behavior").alias("behaviour"), F.col("penalty_content").alias("penalty"))
 
 
-@query("select doc_id, '违规行为：' || case when length(text) > 400 then substr(text, 1, 400) || '…' else text end || chr(10) || '案件总结：' || source embed_text from documents")
+@query(r"""with t as (select doc_id, coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') vb, case when doc_id % 3 = 0 then coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '')
+  when doc_id % 3 = 1 then source else '' end s from (select doc_id, case when doc_id % 7 = 0 then null else text end text, source from documents))
+select doc_id, coalesce(substr(nullif(concat_ws(chr(10), case when vb <> '' then '违规行为：' || vb end, case when s <> '' and s <> vb then '案件总结：' || s end), ''), 1, 2000), '保险监管处罚案例') embed_text from t""")
 def embed_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("违规行为："), T.clip(F.col("text"), 400), F.lit("\n案件总结："), "source").alias("embed_text"))
+    """Whole behaviours and summaries, missing and equal ones among them, to 2,000 characters of both."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("text"))
+    summary = F.when(F.col("doc_id") % 3 == 0, text).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", T.embed_text(text, summary).alias("embed_text"))
 
 
 @query(f"select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'))) n_tokens, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) n_squeezed from documents")
@@ -128,9 +144,9 @@ def text_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"), "[a-z0-9]{2,}")).cast("long").alias("n_tokens"), F.length(F.trim(T.squeeze(F.col("text")))).cast("long").alias("n_squeezed"))
 
 
-@query("""select conv_id, count(*) n_turns, string_agg(turn || '. ' || substr(text, 1, 20), chr(10) order by turn, role) summary from conversations group by conv_id""")
+@query("""select conv_id, count(*) n_turns, string_agg(turn || '. ' || text, chr(10) order by turn, role) summary from conversations group by conv_id""")
 def material_report(spark, sf_dir):
-    line = F.concat(F.col("turn").cast("string"), F.lit(". "), F.substring("text", 1, 20))
+    line = F.concat(F.col("turn").cast("string"), F.lit(". "), F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("line"))))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("summary"))
 

@@ -11,7 +11,7 @@ from docketry.operators import tables as T
 from docketry.operators.checks import small
 from docketry.queries.base import query, rounded, rows, table, values
 from docketry.sources.export import cells, split_valid
-from docketry.sources.files import best_attempt, mime_of
+from docketry.sources.files import MIME, best_attempt, mime_of
 
 
 @query("""select p_partkey, round(least(100, greatest(0, p_size / 50.0::double * 100)), 1) pct,
@@ -87,9 +87,18 @@ def parse_cascade(spark, sf_dir):
     return d.select("id", best_attempt(made("a", "table"), made("b", "text"), made("c", "ocr"))["how"].alias("chosen"))
 
 
-@query("select page_id, 'text/html' mime from pages")
+ENDINGS = [".HTML", ".pdf", ".tar.docx", ".PPTX", ".txt", ".jsonl", ".exe", ""]
+
+
+@query(f"""with n as (select page_id, 'p' || page_id || [{', '.join(repr(x) for x in ENDINGS)}][page_id % {len(ENDINGS)} + 1] f from pages)
+select page_id, case when lower(f) like '%.html' then 'text/html' when lower(f) like '%.pdf' then 'application/pdf' when lower(f) like '%.txt' then 'text/plain'
+  when lower(f) like '%.docx' then 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+  when lower(f) like '%.pptx' then 'application/vnd.openxmlformats-officedocument.presentationml.presentation' when lower(f) like '%.jsonl' then {repr(MIME["jsonl"]) if "jsonl" in MIME else "null"} end mime from n""")
 def mime_router(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", mime_of(F.concat(F.col("page_id").cast("string"), F.lit(".HTML"))).alias("mime"))
+    """File names of every kind, unknown endings and none among them."""
+    i = F.col("page_id")
+    ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (i % len(ENDINGS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", mime_of(F.concat(F.lit("p"), i.cast("string"), ending)).alias("mime"))
 
 
 @query("""select q.n_name, count(*) n, round(sum(o_totalprice), 2) total from nation q join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey

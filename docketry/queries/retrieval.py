@@ -40,10 +40,10 @@ DENSE_SQL = """(select * from (
   from embeddings q cross join embeddings c where q.vec_id % 50 = 0) where rk <= {k})"""
 
 
-@query("select qid, case_id, score, rk from " + at_k(DENSE_SQL, 10))
+@query("select qid, case_id, score, rk from " + at_k(DENSE_SQL, 200))
 def dense_topk(spark, sf_dir):
     """Exact cosine neighbours of every fiftieth vector, in blocks."""
-    return R.dense(*_vectors(spark, sf_dir), 10).select("qid", "case_id", "score", "rk")
+    return R.dense(*_vectors(spark, sf_dir), R.DEPTH["dense"]).select("qid", "case_id", "score", "rk")
 
 
 LEXICAL_SQL = f"""(
@@ -57,10 +57,10 @@ select * from (select qid, case_id, n_hits::double score, row_number() over (par
   from k where is_and or not any_and) where rk <= {{k}})"""
 
 
-@query("select qid, case_id, score, rk from " + at_k(LEXICAL_SQL, 20))
+@query("select qid, case_id, score, rk from " + at_k(LEXICAL_SQL, 80))
 def lexical_and_or(spark, sf_dir):
     """All tokens of a query, else any; ranked by tokens and occurrences."""
-    return R.lexical(_queries(spark, sf_dir), _corpus(spark, sf_dir), 20).select("qid", "case_id", "score", "rk")
+    return R.lexical(_queries(spark, sf_dir), _corpus(spark, sf_dir), R.DEPTH["bm25"]).select("qid", "case_id", "score", "rk")
 
 
 def _sparse_inputs(spark, sf_dir):
@@ -79,15 +79,15 @@ s as (select qid, case_id, round(sum(qw.w * pw.w), 6) score from qw join pw usin
 select * from (select *, row_number() over (partition by qid order by score desc, case_id) rk from s) where rk <= {k})"""
 
 
-@query("select qid, case_id, score, rk from " + at_k(SPARSE_SQL, 10))
+@query("select qid, case_id, score, rk from " + at_k(SPARSE_SQL, 100))
 def sparse_inner_product(spark, sf_dir):
-    return R.sparse(*_sparse_inputs(spark, sf_dir), 10).select("qid", "case_id", "score", "rk")
+    return R.sparse(*_sparse_inputs(spark, sf_dir), R.DEPTH["sparse"]).select("qid", "case_id", "score", "rk")
 
 
-@query("select s.qid, s.case_id, s.score from " + at_k(SPARSE_SQL, 10) + " s join " + CASES_SQL + " c using (case_id) where c.related")
+@query("select s.qid, s.case_id, s.score from " + at_k(SPARSE_SQL, 100) + " s join " + CASES_SQL + " c using (case_id) where c.related")
 def sparse_postfilter(spark, sf_dir):
     """The filter stands above the ranking: a query may get fewer than k."""
-    best = R.sparse(*_sparse_inputs(spark, sf_dir), 10)
+    best = R.sparse(*_sparse_inputs(spark, sf_dir), R.DEPTH["sparse"])
     return best.join(cases(spark, sf_dir).where("related").select("case_id"), "case_id").select("qid", "case_id", "score")
 
 
@@ -124,8 +124,7 @@ select doc_id qid, coalesce(risks, '') risks from documents left join o on doc_i
 def risk_predict(spark, sf_dir):
     """Risk ids of every document by rules, then by dictionary."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text")
-    rules = rows(spark, "rule_id int, pattern string, risk_id string", RULES)
-    return R.predict_risks(docs, rules, _synonyms(spark)).select("qid", F.array_join("risk_ids", ",").alias("risks"))
+    return R.predict_risks(docs, [*RULES, (9, "(unclosed", "R009")], SYNONYMS).select("qid", F.array_join("risk_ids", ",").alias("risks"))
 
 
 @query(f"""with terms as (select item_id qid, standard_term term, risk_id from benchmark join {SYN_SQL} s on text like concat('%', business_term, '%')),
@@ -140,13 +139,13 @@ def rule_channel(spark, sf_dir):
 
 
 def _channels(spark, sf_dir):
-    lex = R.lexical(_queries(spark, sf_dir), _corpus(spark, sf_dir), 20).select("qid", F.lit("bm25").alias("channel"), "case_id", "score", "rk")
-    spa = R.sparse(*_sparse_inputs(spark, sf_dir), 20).select("qid", F.lit("sparse").alias("channel"), "case_id", "score", "rk")
+    lex = R.lexical(_queries(spark, sf_dir), _corpus(spark, sf_dir), R.DEPTH["bm25"]).select("qid", F.lit("bm25").alias("channel"), "case_id", "score", "rk")
+    spa = R.sparse(*_sparse_inputs(spark, sf_dir), R.DEPTH["sparse"]).select("qid", F.lit("sparse").alias("channel"), "case_id", "score", "rk")
     return lex.unionByName(spa)
 
 
-CHANNELS_SQL = f"""(select qid, 'bm25' channel, case_id, score, rk from {at_k(LEXICAL_SQL, 20)} union all
-  select qid, 'sparse', case_id, score, rk from {at_k(SPARSE_SQL, 20)})"""
+CHANNELS_SQL = f"""(select qid, 'bm25' channel, case_id, score, rk from {at_k(LEXICAL_SQL, 80)} union all
+  select qid, 'sparse', case_id, score, rk from {at_k(SPARSE_SQL, 100)})"""
 RRF_SQL = f"""(select *, row_number() over (partition by qid order by score desc, case_id) rk from (
   select qid, case_id, round(sum(case channel when 'bm25' then 1.15::double else 1.0::double end / (60.0::double + rk))
     + case when count(distinct channel) > 1 then 0.05::double * (count(distinct channel) - 1) else 0::double end, 6) score,
@@ -183,25 +182,38 @@ def listwise_order(spark, sf_dir):
     return R.listwise(c, rows(spark, "qid string, ids array<string>", ORDERS), 3, 4).select("qid", "case_id", "rk")
 
 
-@query(f"""with r as (select qid, case_id, rk from {RRF_SQL} where rk <= 3)
-select r.qid, r.case_id, case when len(common) > 0 then '共同要点：' || array_to_string(list_slice(common, 1, 4), '、')
-  else '违规行为：' || case when length(d.text) > 48 then substr(d.text, 1, 48) || '…' else d.text end end || '；标签：' || d.lang || '。' reason
-from r join benchmark b on item_id = qid join documents d on printf('C%06d', doc_id) = case_id,
-lateral (select list_filter(list_distinct_ordered, lambda x: list_contains(dt, x)) common from (
-  select list_reduce_distinct list_distinct_ordered, regexp_extract_all(lower(d.text), {TOKEN_SQL}) dt from (
-    select list(t order by i) list_reduce_distinct from (select t, min(i) i from (select unnest(regexp_extract_all(lower(b.text), {TOKEN_SQL})) t,
-      generate_subscripts(regexp_extract_all(lower(b.text), {TOKEN_SQL}), 1) i) group by t))))""")
+def _first_tokens(key: str, source: str, text: str, limit: int) -> str:
+    """SQL for the first distinct tokens of a text in their order: (key, ts)."""
+    return f"""(select k, list(t order by i)[1:{limit}] ts from (select k, t, min(i) i from (select {key} k, unnest(x) t, generate_subscripts(x, 1) i
+      from (select *, regexp_extract_all({text}, {TOKEN_SQL}) x from {source})) group by all) group by k)"""
+
+
+@query(rf"""with r as (select qid, case_id, score, channels from {RRF_SQL} where rk <= 5),
+c as (select printf('C%06d', doc_id) case_id, regexp_replace(case when doc_id % 11 = 0 then '' else text end, '^\s+|\s+$', '', 'g') vb, case when doc_id % 3 = 0 then '' else source end p,
+  case when doc_id % 2 = 0 then 'N' || doc_id end no, case when doc_id % 5 = 0 then '命中规则词典：x。' else 'x' end reason, case when lang = 'en' then [] else [lang] end tags from documents),
+q as {_first_tokens('item_id', 'benchmark', r"regexp_replace(text, '^\s+|\s+$', '', 'g')", 40)},
+d as {_first_tokens('case_id', 'c', "vb || ' ' || p", 80)},
+j as (select r.qid, r.case_id, r.score, channels, vb, p, no, reason, tags, list_filter(coalesce(d.ts, []), lambda x: list_contains(coalesce(q.ts, []), x))[1:4] common
+  from r join c using (case_id) left join q on q.k = qid left join d on d.k = r.case_id)
+select qid, case_id, concat_ws('；', case when starts_with(reason, '命中规则词典') then regexp_replace(reason, '[；;。]+$', '') end,
+  case when len(common) > 0 then '共同线索：' || array_to_string(common, '、') when vb <> '' then '对照违法事实：' || case when length(vb) > 48 then substr(vb, 1, 48) || '…' else vb end end,
+  case when len(tags) > 0 then '共有风险标签：' || tags[1] end, case when p <> '' then '处罚结果：' || p when no is not null then '处罚文号：' || no end,
+  '召回通道：' || replace(replace(replace(channels, ',', '、'), 'bm25', '关键词'), 'sparse', '稀疏词项')) || '。' reason from j""")
 def match_reason(spark, sf_dir):
-    best = R.rrf(_channels(spark, sf_dir), 3)
-    q = _queries(spark, sf_dir).select("qid", tokens(F.col("text")).alias("qt"))
-    d = table(spark, sf_dir, "documents").select(numbered("C", F.col("doc_id")).alias("case_id"), "text", F.array("lang").alias("tags"))
-    joined = d.join(small(best.select("qid", "case_id")), "case_id").join(small(q), "qid")
-    none = F.array().cast("array<string>")
-    return joined.select("qid", "case_id", R.match_reason(F.col("qt"), F.col("text"), F.col("tags"), F.lit(""), none).alias("reason"))
+    best = R.rrf(_channels(spark, sf_dir), 5).select("qid", "case_id", "score", "channels")
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(
+        numbered("C", i).alias("case_id"), F.when(i % 11 == 0, "").otherwise(F.col("text")).alias("violation_behavior"),
+        F.when(i % 3 == 0, "").otherwise(F.col("source")).alias("penalty_content"), F.when(i % 2 == 0, F.concat(F.lit("N"), i.cast("string"))).alias("penalty_doc_no"),
+        F.when(i % 5 == 0, "命中规则词典：x。").otherwise("x").alias("reason"), F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(F.array("lang")).alias("risk_tags"),
+    )
+    joined = d.join(best, "case_id").join(_queries(spark, sf_dir), "qid")
+    names = ["case_id", "score", "reason", "violation_behavior", "penalty_content", "penalty_doc_no", "risk_tags", "channels"]
+    return joined.select("qid", "case_id", R.match_reason(F.col("text"), {n: F.col(n) for n in names}).alias("reason"))
 
 
 @query(f"""with d as (select vec_id, printf('C%06d', vec_id) case_id from embeddings),
-fused as (select qid, case_id, score, rk from {RRF_SQL} where rk <= 50),
+fused as (select qid, case_id, score, rk from {RRF_SQL} where rk <= 200),
 q as (select distinct item_id qid, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from benchmark),
 t as (select distinct printf('C%06d', doc_id) case_id, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from documents),
 n as (select qid, count(*) n from q group by qid),
@@ -209,11 +221,11 @@ s as (select f.qid, f.case_id, f.rk recall_rank, round(count(t.token) / max(n.n)
   from fused f join n using (qid) join q using (qid) left join t on t.case_id = f.case_id and t.token = q.token group by all)
 select qid, case_id, score, rk from (select *, row_number() over (partition by qid order by score desc, recall_rank) rk from s) where rk <= 10""")
 def retrieve_e2e(spark, sf_dir):
-    """Batch retrieval: lexical and sparse channels, fusion of 50, rerank by token overlap, best 10."""
-    fused = R.rrf(_channels(spark, sf_dir), 50).select("qid", "case_id", F.col("rk").alias("recall_rank"))
+    """Batch retrieval: lexical and sparse channels, fusion of 200, rerank by token overlap, best 10."""
+    fused = R.rrf(_channels(spark, sf_dir), 200).select("qid", "case_id", F.col("rk").alias("recall_rank"))
     q = _queries(spark, sf_dir).select("qid", tokens(F.col("text")).alias("qt"))
     d = table(spark, sf_dir, "documents").select(numbered("C", F.col("doc_id")).alias("case_id"), "text")
-    pool = d.join(small(fused), "case_id").select("qid", "case_id", "recall_rank", tokens(F.col("text")).alias("dt")).join(small(q), "qid")
+    pool = d.join(fused, "case_id").select("qid", "case_id", "recall_rank", tokens(F.col("text")).alias("dt")).join(small(q), "qid")
     scored = pool.withColumn("score", F.round(F.size(F.array_intersect("qt", "dt")) / F.size("qt"), 6))
     return R.top(scored, 10, F.col("score").desc(), F.col("recall_rank")).select("qid", "case_id", "score", "rk")
 

@@ -62,17 +62,32 @@ def test_case_segments(spark):
     assert len(got) == 2 and got[0].startswith("京银保监罚〔2026〕1号") and got[1].startswith("当事人：乙保险公司") and "2号" in got[1]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="甲乙丙，。！；;:： \n1.、（一）#ab", max_size=120))
-def test_sentence_offsets(text):
-    for sentence, start, end, _, _ in review.sentences_of(text):
-        assert "".join(c for c in text[start:end] if c not in "\r\n") == sentence
+def sentences_of(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    return review.sentences(d, "id", "body").orderBy("id", "pos").collect()
 
 
-def test_sentences_join_soft_lines():
+def test_sentence_offsets(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("甲乙丙，。！；;:： \n\r1.、（一）#ab") for _ in range(rng.randrange(121))) for _ in range(300)] + ["", None, "\n\n", "甲" * 500 + "\n乙"]
+    found = sentences_of(spark, texts)
+    for r in found:
+        assert "".join(c for c in texts[r.id][r.start : r.end] if c not in "\r\n") == r.sentence
+    by = {i: [r for r in found if r.id == i] for i in range(len(texts))}
+    for i, rows in by.items():
+        assert [r.pos for r in rows] == list(range(len(rows))) and all(a.end <= b.start for a, b in zip(rows, rows[1:]))
+        kept = "".join("".join(texts[i][r.start : r.end].split()) for r in rows)
+        assert kept == "".join((texts[i] or "").split())  # nothing but white space is left out
+
+
+def test_sentences_join_soft_lines(spark):
     long = "该公司在销售过程中向投保人承诺给予保险合同约定"
-    assert [s[0] for s in review.sentences_of(f"{long}\n以外的利益。第二句！\n\n第三句")] == [long + "以外的利益。", "第二句！", "第三句"]
-    assert len({s[3] for s in review.sentences_of("1. 甲\n2. 乙")}) == 2
+    found = sentences_of(spark, [f"{long}\n以外的利益。第二句！\n\n第三句", "1. 甲\n2. 乙", "\n".join(["字" * 60] * 6)])
+    assert [r.sentence for r in found if r.id == 0] == [long + "以外的利益。", "第二句！", "第三句"]
+    assert len({r.paragraph for r in found if r.id == 1}) == 2
+    assert [len(r.sentence) for r in found if r.id == 2] == [240, 120]  # a block of 220 characters takes no more lines
 
 
 def test_ocr_is_idempotent(spark):
