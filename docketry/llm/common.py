@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -128,6 +129,15 @@ def maybe_in(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return found.withColumn("__maybe", F.coalesce(held, F.lit(False))).drop("__filter_row", "__filter_bits")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array, each with at most ``max_bytes`` of text (or one row)."""
     import numpy as np

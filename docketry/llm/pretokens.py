@@ -72,11 +72,11 @@ class CachedEncoder:
         found = [list(map(known.get, pieces)) if pieces else [] for pieces in cut]
         missing = list({p for pieces, ids in zip(cut, found) if None in ids[1:] for p, v in zip(pieces[1:], ids[1:]) if v is None})
         split = [self.pattern.findall(" " + p) for p in missing]
-        ids = self._each([m for matches in split for m in matches])
-        new, at = {}, 0
-        for piece, matches in zip(missing, split):
-            new[piece] = b"".join(ids[at : at + len(matches)])
-            at += len(matches)
+        # Most pieces are one match; these are kept as pieces only.
+        whole = [matches[0] for matches in split if len(matches) == 1]
+        alone = iter(self.encode_matches(whole) if whole else [])
+        ids = iter(self._each([m for matches in split if len(matches) != 1 for m in matches]))
+        new = {p: next(alone) if len(matches) == 1 else b"".join(next(ids) for _ in matches) for p, matches in zip(missing, split)}
         known.update((p, v) for p, v in new.items() if len(p) <= CACHE_CHARS)
         out = []
         for text, pieces, ids in zip(texts, cut, found):
