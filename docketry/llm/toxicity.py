@@ -8,9 +8,10 @@ Confirmed toxic texts are the positives; the other side is text whose label is n
 with the logistic loss, so that ``f`` estimates the log odds of the label.  Where the second term turns negative
 the step goes back along it, as the estimator demands.
 
-Training is on a bounded sample: at most ``MAX_POSITIVE`` toxic and ``MAX_UNLABELLED`` other rows of ``labels`` from
-the training fold (crc32 of the id as text, modulo 3, is not 1), the first by a hash of their ids.  Scoring is on
-every whole text.  Neither labels nor language, source or id are inputs of a score.
+Training is on a bounded sample of the training fold (crc32 of the id as text, modulo 3, is not 1): at most
+``MAX_POSITIVE`` toxic rows of ``labels`` and about ``MAX_UNLABELLED`` of all documents, the first by a hash of their
+ids.  Features are counted and screened in the executors, so that the driver gets those that matter, not texts.
+Scoring is on every whole text.  Neither labels nor language, source or id are inputs of a score.
 
 Defined results: null and empty texts get the score of a text without words; a null ``doc_id`` counts as the empty
 string for the fold; labels that repeat an id count as toxic if one of them is; without any positive the score is
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import read, small_batches, text_slices
+from docketry.llm.common import batch_rows, dropped, read, small_batches, stored, text_slices
 from docketry.llm.shingles import NOT_ALNUM, string_buffers, word_hashes, words_of
 
 MAX_POSITIVE, MAX_UNLABELLED = 2500, 5000
@@ -111,34 +112,31 @@ def fit_one(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, prior: flo
     return w, b
 
 
-def screened(texts: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """Sorted features whose shares in positives and in unlabelled texts differ beyond chance."""
-    empty = [np.zeros(0, np.uint64)]
-    inside, counts = np.unique(np.concatenate(empty + [x for x, p in zip(texts, positive) if p]), return_counts=True)
-    outside, others = np.unique(np.concatenate(empty + [x for x, p in zip(texts, positive) if not p]), return_counts=True)
-    inside, counts = inside[counts >= MIN_TEXTS], counts[counts >= MIN_TEXTS]
-    at = np.minimum(np.searchsorted(outside, inside), max(len(outside) - 1, 0))
-    other = np.where(outside[at] == inside, others[at], 0) if len(outside) else np.zeros(len(inside))
-    n1, n0 = positive.sum(), (~positive).sum()
-    p = (counts + other) / (n1 + n0)
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return inside[np.abs(counts / n1 - other / n0) / error >= MIN_Z]
+def screened(sample: DataFrame, n_positive: int, n_other: int) -> np.ndarray:
+    """Sorted features whose shares in positives and in unlabelled texts of ``sample`` differ beyond chance."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [], []
+            for positive, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                sides[not positive].append(np.frombuffer(words, "<u8"))
+            for side, texts in enumerate(sides):
+                found, n = np.unique(np.concatenate([np.zeros(0, "<u8"), *texts]), return_counts=True)
+                none = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(none if side else n), pa.array(n if side else none)], ["feature", "inside", "outside"])
 
-def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float) -> Linear:
+    counts = sample.mapInArrow(counted, "feature long, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    p = (F.col("inside") + F.col("outside")) / float(n_positive + n_other)
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n_positive + 1 / n_other))
+    matter = F.abs(F.col("inside") / float(n_positive) - F.col("outside") / float(n_other)) / error >= MIN_Z
+    found = counts.where((F.col("inside") >= MIN_TEXTS) & matter).select("feature").collect()  # at most MAX_POSITIVE / MIN_TEXTS times a text's words
+    return np.sort(np.array([r.feature for r in found], np.int64).view(np.uint64))
+
+
+def fit(known: np.ndarray, rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, prior: float) -> Linear:
     """Average of ``MODELS`` classifiers, each on its own share of positives and unlabelled texts."""
-    nothing = np.zeros(0, np.uint64), np.zeros(0)
-    if not positive.any() or positive.all():
-        odds = np.clip(prior, 1e-9, 1 - 1e-9)
-        return Linear(*nothing, float(np.log(odds / (1 - odds))) if prior > 0 else -30.0)
     prior = float(np.clip(prior, 1e-3, 0.9))
-    known = screened(texts, positive)
-    rows = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-    found = np.concatenate(texts)
-    cols = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
-    some = known[cols] == found if len(known) else np.zeros(len(found), bool)
-    rows, cols = rows[some], cols[some]
-    share = np.zeros(len(texts), int)
+    share = np.zeros(len(positive), int)
     for side in (positive, ~positive):
         share[side] = np.arange(side.sum()) % MODELS
     weights, bias, n_fit = np.zeros(len(known)), 0.0, 0
@@ -158,30 +156,54 @@ def train(docs: DataFrame, labels: DataFrame) -> Linear:
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(~held_out(F.col("doc_id")))
     prior = marked.agg(F.avg("toxic")).first()[0] or 0.0
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    chosen = marked.where("toxic = 1").orderBy(*order).limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"))
-    others = marked.select("doc_id", F.xxhash64(F.lit("unlabelled"), "doc_id").alias("h")).orderBy("h", "doc_id").limit(MAX_UNLABELLED)
-    chosen = chosen.unionByName(others.select("doc_id", F.lit(False).alias("positive")))
+    toxic = marked.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE)
+    ids = docs.where("doc_id is not null").select("doc_id").where(~held_out(F.col("doc_id")))
+    span = 1 << 40
+    bound = int(span * min(1.0, MAX_UNLABELLED / max(ids.count(), 1)))
+    others = ids.where(F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(span)) < bound).distinct()
+    chosen = toxic.select("doc_id", F.lit(True).alias("positive")).unionByName(others.select("doc_id", F.lit(False).alias("positive")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a, b in text_slices(whole.column(1)):
+            for a, b in text_slices(whole.column(2)):
                 batch = whole.slice(a, b - a)
                 sets: list[list[np.ndarray]] = [[] for _ in range(len(batch))]
-                for rows, found in features_of(batch.column(1)):
+                for rows, found in features_of(batch.column(2)):
                     cut = np.searchsorted(rows, np.arange(len(batch) + 1))
                     for parts, i, j in zip(sets, cut[:-1], cut[1:]):
                         parts.append(np.unique(found[i:j]))
                 sets = [np.unique(np.concatenate(parts)).astype("<u8").tobytes() for parts in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "words"])
-
-    small_batches(spark)
-    # Bounded: the sample of ids is at most MAX_POSITIVE + MAX_UNLABELLED rows.
-    ids = F.broadcast(chosen.select("doc_id").distinct())
-    sample = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(features, "doc_id long, words binary")
-    words = {row.doc_id: np.frombuffer(row.words, "<u8") for row in sample.collect()}
-    rows = sorted((row.positive, row.doc_id) for row in chosen.collect() if row.doc_id in words)
-    return fit([words[i] for _, i in rows], np.array([p for p, _ in rows], bool), float(prior))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["doc_id", "positive", "words"])
+
+    # Bounded: the sample of ids is about MAX_POSITIVE + MAX_UNLABELLED rows.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text")
+    with batch_rows(spark):
+        sample = stored(texts.mapInArrow(features, "doc_id long, positive boolean, words binary"), "toxicity-sample")
+    sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if len(sizes) < 2:
+        odds = float(np.clip(prior, 1e-9, 1 - 1e-9))
+        nothing = np.zeros(0, np.uint64), np.zeros(0)
+        return Linear(*nothing, float(np.log(odds / (1 - odds))) if prior > 0 else -30.0)
+    known = screened(sample, sizes[True], sizes[False])
+    shared = spark.sparkContext.broadcast(known)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of a text's features among the known ones."""
+        features = shared.value
+        for batch in batches:
+            places = []
+            for words in batch.column(2).to_pylist():
+                w = np.frombuffer(words, "<u8")
+                at = np.minimum(np.searchsorted(features, w), max(len(features) - 1, 0))
+                places.append((at[features[at] == w] if len(features) else at[:0]).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary())], ["doc_id", "positive", "places"])
+
+    found = sample.mapInArrow(entries, "doc_id long, positive boolean, places binary").collect()
+    found.sort(key=lambda r: (r.positive, r.doc_id, r.places))
+    dropped(sample)
+    cols = [np.frombuffer(r.places, "<i4") for r in found]
+    rows = np.repeat(np.arange(len(found)), [len(x) for x in cols])
+    return fit(known, rows, np.concatenate(cols).astype(np.int64), np.array([r.positive for r in found], bool), float(prior))
 
 
 def scored(docs: DataFrame, model: Linear, keep: bool = False) -> DataFrame:
