@@ -4,7 +4,7 @@ Writing: payloads are grouped by digest, the record with the largest id of a gro
 revisit it; each task writes one archive.  Reading: the dictionary is loaded from the first frame of the file, then
 each frame is decoded to one record, whose headers, lengths and payload digest are validated.
 
-The dictionary is trained on a bounded sample of payload heads (``SAMPLE_ROWS`` rows of ``SAMPLE_CHARS``
+The dictionary is trained on a bounded sample of payload heads (about ``SAMPLE_ROWS`` rows of ``SAMPLE_CHARS``
 characters); it affects sizes only.  Archives of too few rows for a dictionary are written without one.
 
 Defined results: null html is an empty payload; records with a null id have no identity to be revisited by and come
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import read, scratch, small_batches, stored
+from docketry.llm.common import batch_rows, read, scratch, stored
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 32 * 1024
 #: Magic of the skippable frame that holds the dictionary, and of a Zstandard frame.
@@ -38,9 +38,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def trained_dictionary(pages: DataFrame) -> bytes:
     """A dictionary of at most ``DICTIONARY_BYTES``, or nothing if the sample is too small to train one."""
-    order = F.xxhash64(F.coalesce(F.col("page_id"), F.lit(0)))
-    head = pages.select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("head")).where("head is not null")
-    sample = head.orderBy(order, "page_id", "head").limit(SAMPLE_ROWS).select("head").collect()
+    key, span = F.xxhash64("page_id", "url"), 1 << 40
+    bound = int(span * min(1.0, SAMPLE_ROWS / max(pages.count(), 1)))
+    # By a hash of their keys, so that each task sends only its share of the sample.
+    chosen = pages.where("html is not null").where(F.pmod(key, F.lit(span)) < bound)
+    sample = sorted(chosen.select(F.substring("html", 1, SAMPLE_CHARS).alias("head")).collect())[: 2 * SAMPLE_ROWS]
     texts = [row.head.encode() for row in sample if row.head]
     if len(texts) < 16 or sum(map(len, texts)) < 8 * DICTIONARY_BYTES:
         return b""
@@ -200,8 +202,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "n_records"])
 
-    small_batches(pages.sparkSession, 128)
-    return stored(identified(pages).mapInArrow(run, "archive string, n_records long"), "warc-manifest")
+    with batch_rows(pages.sparkSession, 128):
+        return stored(identified(pages).mapInArrow(run, "archive string, n_records long"), "warc-manifest")
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
