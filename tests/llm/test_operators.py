@@ -1,5 +1,6 @@
 """The operators against brute force on odd rows, empty tables included."""
 
+import base64
 import hashlib
 import math
 import re
@@ -217,15 +218,21 @@ def test_token_files(spark, odd, odd_rows, none):
 
 
 def test_warc(spark):
-    rows = [(i, f"http://x/{i}", None if i % 9 == 4 else f"<p>{i % 40} é</p>" * (1 + i % 5), i) for i in range(120)] + [(7, None, "<p>7</p>", 1), (None, "u", "<p>null</p>", 2)]
+    rows = [(i, f"http://x/{i}", None if i % 9 == 4 else f"<p>{i % 40} é</p>" * (1 + i % 5), i) for i in range(120)] + [(500, "http://x/500", "<p>é</p>" * 300_000, 1)] + [(7, None, "<p>7</p>", 1), (None, "u", "<p>null</p>", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3)
     folder = scratch(spark, "test-warc")
     got = warc.read_archives(warc.write_archives(pages, folder), folder, payloads=True).collect()
     by = defaultdict(list)
     for i, _, h, _ in rows:
         by[h or ""].append(-1 if i is None else i)
-    expect = sorted(((i, len((h or "").encode()), "response" if (-1 if i is None else i) == max(by[h or ""]) else "revisit") for i, _, h, _ in rows), key=repr)
-    assert sorted(((r.page_id, r.payload_bytes, r.record_type) for r in got), key=repr) == expect
+    def expected(i, h):
+        first = max(by[h or ""])
+        own = (-1 if i is None else i) == first
+        digest = base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+        return i, len((h or "").encode()), digest, "response" if own else "revisit", None if own else first
+
+    expect = sorted((expected(i, h) for i, _, h, _ in rows), key=repr)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == expect
     html = {i: h or "" for i, _, h, _ in rows}
     assert all(bytes(r.payload).decode() == html[r.page_id] for r in got if r.record_type == "response" and r.page_id != 7)
     none = pages.limit(0)
