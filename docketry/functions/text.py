@@ -60,6 +60,40 @@ def first_separator_parts(c: Column) -> Column:
     return F.filter(F.transform(out, strip), lambda p: p != "")
 
 
+def plain_brackets(c: Column) -> Column:
+    """Document numbers with one kind of brackets and no blanks."""
+    return F.translate(F.regexp_replace(c, U + r"\s+", ""), "[]()", "〔〕（）")
+
+
+def safe_file_name(c: Column) -> Column:
+    """A name that any file system takes, 80 characters at most."""
+    return F.substring(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\s]+', "_"), r"^[._]+|[._]+$", ""), 1, 80)
+
+
+# Phrases too general to stand for a tag.
+GENERAL_PHRASES = ["隐瞒", "伪造", "变造", "打折", "折扣", "最好", "最优", "第一", "唯一", "年化", "保本", "保息", "存钱", "活期", "回访", "电销", "赠送", "优惠活动", "不当手段", "虚假告知"]
+
+
+def quoted_phrases(c: Column) -> Column:
+    """Up to twelve distinct phrases in quotation marks of 4 to 24 characters that are not general."""
+    found = F.transform(F.regexp_extract_all(c, F.lit("[“\"『「]([^”\"』」]{2,24})[”\"』」]"), F.lit(1)), strip)
+    return F.slice(F.array_distinct(F.filter(found, lambda p: (F.length(p) >= 4) & (F.length(p) <= 24) & ~p.isin(*GENERAL_PHRASES))), 1, 12)
+
+
+def redirects(c: Column) -> Column:
+    """The tags that a boundary refers cases to."""
+    return F.transform(F.regexp_extract_all(c, F.lit("归入([^；;，,、（(]{2,20})"), F.lit(1)), strip)
+
+
+def loose_date(c: Column) -> Column:
+    """The first date in a text as year-month-day: in Chinese signs, else with hyphens, slashes or dots."""
+    def found(pattern: str) -> Column:
+        y, m, d = (F.regexp_extract(c, pattern, i) for i in (1, 2, 3))
+        return F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+
+    return F.coalesce(found(U + r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"), found(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"))
+
+
 def first_group(c: Column, pattern: str, groups: int = 1) -> Column:
     """First non-empty group of the first match, or null."""
     return F.coalesce(*[F.nullif(strip(F.regexp_extract(c, U + pattern, i)), F.lit("")) for i in range(1, groups + 1)])
