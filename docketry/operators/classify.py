@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import U, first_separator_parts, hits, strip
+from docketry.functions.text import GENERAL_PHRASES, U, any_of, first_separator_parts, hits, quoted_phrases, strip
 
 # Term dictionaries used where no other is given.
 ENTITY_TERMS = (
@@ -182,10 +182,36 @@ def predict_tags(text: Column, limit: int = 3) -> Column:
     return F.slice(F.transform(found, lambda x: x["tag"]), 1, limit)
 
 
-def resolve_tags(text: Column, keyword: Column, case_tags: Column, model: Column, limit: int) -> Column:
-    """Ordered union of tag sources; without any, by key words; 其他 only if it is alone."""
+def apply_exclusions(text: Column, tags: Column, redirects: list[tuple[str, str, list[str]]]) -> Column:
+    """Tags whose boundary refers a text to another tag give way to it.
+
+    ``redirects``: (tag, target, triggers), a small reference table.  A boundary holds if it names no trigger or one of
+    them occurs; the tag then goes if the target is among the tags or the boundary names triggers, and the target joins.
+    """
+    def holds(tag: str, target: str, triggers: list[str]) -> Column:
+        said = any_of(text, triggers) if triggers else F.array_contains(tags, target)
+        return F.array_contains(tags, tag) & said
+
+    none = F.lit(None).cast("string")
+    gone = F.filter(F.array(*[F.when(holds(*r), F.lit(r[0])) for r in redirects], none), lambda x: x.isNotNull())
+    come = F.filter(F.array(*[F.when(holds(*r), F.lit(r[1])) for r in redirects], none), lambda x: x.isNotNull())
+    # Targets join in the order of the tags that they stand for.
+    order = [F.filter(come, lambda x: x.isin(*[r[1] for r in redirects if r[0] == t] or [""])) for t in TAG_IDS]
+    come = F.filter(F.array_distinct(F.concat(*order)) if redirects else come, lambda x: ~F.array_contains(tags, x))
+    kept = F.filter(tags, lambda t: ~F.array_contains(gone, t))
+    return F.when(F.size(tags) <= 1, tags).otherwise(F.concat(kept, come))
+
+
+def resolve_tags(
+    text: Column, keyword: Column, case_tags: Column, model: Column, limit: int, ids: Column | None = None, redirects: list[tuple[str, str, list[str]]] | None = None
+) -> Column:
+    """Ordered union of tag sources; without any, by key words, then by ids; boundaries; 其他 only if it is alone."""
     merged = normalize_tags(F.concat(keyword, model, case_tags))
     merged = F.when(F.size(merged) > 0, merged).otherwise(predict_tags(text))
+    if ids is not None:
+        merged = F.when(F.size(merged) > 0, merged).otherwise(ids_to_tags(ids))
+    if redirects:
+        merged = apply_exclusions(text, merged, redirects)
     others = F.array_remove(merged, "其他")
     return F.slice(F.when(F.size(others) > 0, others).otherwise(merged), 1, limit)
 
@@ -193,3 +219,37 @@ def resolve_tags(text: Column, keyword: Column, case_tags: Column, model: Column
 def institution(text: Column, name: Column) -> Column:
     out = F.when(entity_type(name) == "责任人员", "无法判断").otherwise("非保险")
     return reduce(lambda rest, rule: F.when(text.rlike(rule[0]), rule[1]).otherwise(rest), reversed(INSTITUTIONS), out)
+
+
+# Names of the flat ids of a submission, and older names of institution types.
+SUBMISSION_NAMES = {
+    "R001": "欺骗投保人/销售误导", "R002": "给予保险合同约定以外利益", "R003": "宣传材料或产品说明会数据资料不真实", "R004": "销售人员执业登记管理不规范",
+    "R005": "虚构/虚挂中介业务套取费用", "R006": "编制虚假财务资料", "R007": "保险代理人侵害消费者权益", "R008": "利用开展保险业务牟取不正当利益",
+}
+INSTITUTION_ALIASES = {"保险代理/中介": "保险代理", "保险分支机构": "保险公司", "保险代理人": "其他", "其他金融机构": "其他"}
+INSTITUTION_TYPES = ["保险公司", "寿险公司", "财险公司", "保险代理", "保险经纪", "其他", "非保险", "无法判断"]
+
+
+def flat_id(internal: Column) -> Column:
+    """The flat id that an internal one of three levels stands under; empty if a submission has no such id."""
+    root = F.split(internal, "-")[0]
+    return F.when(root.isin(*SUBMISSION_NAMES), root).otherwise("")
+
+
+def submission_types(internal: Column) -> Column:
+    """Names of the flat ids of an array of internal ones, each once, in the order of the ids."""
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform(internal, flat_id), lambda x: x != "")))
+    return F.array_join(F.transform(ids, lambda x: F.element_at(_map(SUBMISSION_NAMES), x)), "；")
+
+
+def coerced_institution(raw: Column) -> Column:
+    """A type of today for any older or foreign name; unknown and missing ones are 非保险."""
+    name = strip(F.coalesce(raw, F.lit("")))
+    name = F.coalesce(F.try_element_at(_map(INSTITUTION_ALIASES), name), name)
+    return F.when(name.isin(*INSTITUTION_TYPES), name).otherwise("非保险")
+
+
+def merged_keywords(keywords: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(tag, keyword): key words (tag, keyword) and the quoted phrases of a catalog (tag, typical), each once; 其他 has none."""
+    phrases = catalog.select("tag", F.explode(quoted_phrases(F.col("typical"))).alias("keyword")).where(~F.col("keyword").isin(*GENERAL_PHRASES))
+    return keywords.select("tag", "keyword").unionByName(phrases).where("tag <> '其他'").distinct()

@@ -59,3 +59,59 @@ def char_overlap(pairs: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
     sums = both.groupBy(key).agg(F.sum(F.least("g", "p")).alias("tp"), F.sum("g").alias("g"), F.sum("p").alias("p"))
     p, r, f1 = prf(F.col("tp"), F.col("p") - F.col("tp"), F.col("g") - F.col("tp"))
     return sums.select(key, p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def label_judge(judged: DataFrame, key: str) -> DataFrame:
+    """Per case precision, recall, F1 and full acceptance of (key, side, score), side 'pred' or 'gold', score 0 or 1.
+
+    Without predictions, precision is 1 if there is nothing to predict, else 0; the same holds for recall.
+    """
+    side = lambda s: F.col("side") == s
+    n = judged.groupBy(key).agg(
+        F.count_if(side("pred")).alias("n_pred"), F.count_if(side("gold")).alias("n_gold"),
+        F.coalesce(F.sum(F.when(side("pred"), F.col("score"))), F.lit(0)).alias("ok_pred"), F.coalesce(F.sum(F.when(side("gold"), F.col("score"))), F.lit(0)).alias("ok_gold"),
+    )
+    p = F.when(F.col("n_pred") > 0, F.col("ok_pred") / F.col("n_pred")).otherwise((F.col("n_gold") == 0).cast("double"))
+    r = F.when(F.col("n_gold") > 0, F.col("ok_gold") / F.col("n_gold")).otherwise((F.col("n_pred") == 0).cast("double"))
+    all_pred, all_gold = (F.col("n_pred") > 0) & (F.col("ok_pred") == F.col("n_pred")), (F.col("n_gold") > 0) & (F.col("ok_gold") == F.col("n_gold"))
+    full = (all_pred & all_gold) | ((F.col("n_pred") == 0) & (F.col("n_gold") == 0))
+    return n.select(key, F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"), full.alias("full_accept"))
+
+
+def plain_field(c: Column) -> Column:
+    """A field for exact comparison: no blanks, one kind of brackets."""
+    return F.translate(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$| ", ""), "[]()", "〔〕（）")
+
+
+def field_scores(pairs: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(field, tp, fp, fn, precision, recall, f1) of each field (gold column, predicted column), in one pass.
+
+    Two different values are a false positive and a false negative at once.
+    """
+    marks = []
+    for name, (gold, pred) in fields.items():
+        g, p = plain_field(F.col(gold)), plain_field(F.col(pred))
+        hit = (g != "") & (g == p)
+        marks.append(F.struct(F.lit(name).alias("field"), hit.alias("tp"), ((p != "") & ~hit).alias("fp"), ((g != "") & ~hit).alias("fn")))
+    n = pairs.select(F.inline(F.array(*marks))).groupBy("field").agg(*[F.count_if(c).alias(c) for c in ("tp", "fp", "fn")])
+    p, r, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return n.select("field", "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"))
+
+
+# Fixed value: a prediction shorter than this share of the truth that it is part of is cut off.
+TRUNCATED_BELOW = 0.7
+
+
+def is_truncated(pred: Column, truth: Column) -> Column:
+    p, t = plain_field(pred), plain_field(truth)
+    return (p != "") & (t != "") & (p != t) & F.contains(t, p) & (F.length(p) < TRUNCATED_BELOW * F.length(t))
+
+
+def keyword_scores(texts: DataFrame, key: str, tags: str, keywords: DataFrame) -> DataFrame:
+    """(tp, fp, fn) of tags against the tags whose literal key words (tag, keyword) occur in a text: (key, text, tags)."""
+    words = [(r.tag, r.keyword) for r in keywords.select("tag", "keyword").collect()]  # a dictionary
+    said = F.array_distinct(F.filter(F.array(*[F.when(F.contains("text", F.lit(w)), F.lit(t)) for t, w in sorted(words)], F.lit(None).cast("string")), lambda x: x.isNotNull()))
+    d = texts.select(key, F.array_distinct(F.col(tags)).alias("gold"), said.alias("said"))
+    return d.agg(
+        F.sum(F.size(F.array_intersect("gold", "said"))).alias("tp"), F.sum(F.size(F.array_except("said", "gold"))).alias("fp"), F.sum(F.size(F.array_except("gold", "said"))).alias("fn")
+    )

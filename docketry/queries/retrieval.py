@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions.text import numbered, tokens
 from docketry.operators import retrieval as R
 from docketry.operators.checks import small
+from docketry.plans.backend import Backend
 from docketry.queries.base import CASES_SQL, cases, query, rounded, rows, table, values
 
 TOKEN_SQL = "'[一-鿿]{2,8}|[A-Za-z0-9]{2,}'"
@@ -212,22 +213,50 @@ def match_reason(spark, sf_dir):
     return joined.select("qid", "case_id", R.match_reason(F.col("text"), {n: F.col(n) for n in names}).alias("reason"))
 
 
-@query(f"""with d as (select vec_id, printf('C%06d', vec_id) case_id from embeddings),
-fused as (select qid, case_id, score, rk from {RRF_SQL} where rk <= 200),
-q as (select distinct item_id qid, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from benchmark),
-t as (select distinct printf('C%06d', doc_id) case_id, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from documents),
-n as (select qid, count(*) n from q group by qid),
-s as (select f.qid, f.case_id, f.rk recall_rank, round(count(t.token) / max(n.n)::double, 6) score
-  from fused f join n using (qid) join q using (qid) left join t on t.case_id = f.case_id and t.token = q.token group by all)
-select qid, case_id, score, rk from (select *, row_number() over (partition by qid order by score desc, recall_rank) rk from s) where rk <= 10""")
+def _near_sql(side: str, channel: str) -> str:
+    return f"""(select *, row_number() over (partition by qid order by score desc, case_id) rk from (
+      select q.qid, c.case_id, '{channel}' channel, round(sum(q.w * c.w) / (max(q.n) * max(c.n)), 6) score from {side} q join cv c using (b) group by all
+      union all select q.qid, c.case_id, '{channel}', 0.0 from (select distinct qid from {side}) q, (select distinct case_id from cv) c
+        where not exists (select 1 from {side} x join cv y using (b) where x.qid = q.qid and y.case_id = c.case_id)) qualify rk <= 200)"""
+
+
+def _vector_sql(key: str, source: str) -> str:
+    return f"""(select {key}, b, w, sqrt(sum(w * w) over (partition by {key})) n from (
+      select {key}, ('0x' || substr(md5(token), 1, 8))::bigint % 64 b, sum(w) w from {source} group by all))"""
+
+
+def _count_sql(key: str, text: str, source: str) -> str:
+    return f"(select {key}, token, count(*)::double w from (select {key}, unnest(regexp_extract_all(lower({text}), {TOKEN_SQL})) token from {source}) group by all)"
+
+
+E2E_SQL = f"""
+with asked as materialized (select item_id qid, text, text || coalesce((select ' ' || array_to_string(list_slice(list_sort(list_distinct(list(standard_term))), 1, 10), ' ')
+    from {SYN_SQL} s where b.text like concat('%', business_term, '%') having count(*) > 0), '') rewrite from benchmark b),
+ct as materialized {_count_sql('case_id', 'text', "(select printf('C%06d', doc_id) case_id, text from documents)")},
+rt as materialized {_count_sql('qid', 'rewrite', 'asked')}, qt as materialized {_count_sql('qid', 'text', 'asked')},
+cv as materialized {_vector_sql('case_id', 'ct')}, rv as materialized {_vector_sql('qid', 'rt')}, qv as materialized {_vector_sql('qid', 'qt')},
+near as materialized (select * from {_near_sql('rv', 'dense')} union all select * from {_near_sql('qv', 'dense')}),
+sp as (select *, row_number() over (partition by qid order by score desc, case_id) rk from (
+  select qid, case_id, round(sum(rt.w * ct.w), 6) score from rt join ct using (token) group by all) qualify rk <= 100),
+d as (select *, row_number() over (partition by qid order by score desc, case_id) rk from (select qid, case_id, max(score) score from near group by all) qualify rk <= 200),
+s as (select sp.qid, sp.case_id, row_number() over (partition by sp.qid order by sp.score desc, sp.case_id) rk from sp anti join d using (qid, case_id) qualify rk <= 20),
+m as (select qid, case_id, row_number() over (partition by qid order by part, rk) recall_rank, case when part = 1 then 'sparse' when exists (select 1 from sp where sp.qid = u.qid and sp.case_id = u.case_id) then 'dense,sparse' else 'dense' end channels
+  from (select qid, case_id, rk, 0 part from d union all select qid, case_id, rk, 1 from s) u qualify recall_rank <= 200),
+qs as (select item_id qid, list_distinct(regexp_extract_all(lower(text), {TOKEN_SQL})) ts from benchmark),
+ds as (select printf('C%06d', doc_id) case_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 1200)), {TOKEN_SQL})) ts from documents),
+r as (select m.*, round(len(list_intersect(qs.ts, ds.ts)) / greatest(len(qs.ts), 1)::double, 6) score from m join qs using (qid) join ds using (case_id))
+select qid, case_id, score, channels, row_number() over (partition by qid order by score desc, recall_rank) rk from r qualify rk <= 10"""
+
+
+@query(E2E_SQL)
 def retrieve_e2e(spark, sf_dir):
-    """Batch retrieval: lexical and sparse channels, fusion of 200, rerank by token overlap, best 10."""
-    fused = R.rrf(_channels(spark, sf_dir), 200).select("qid", "case_id", F.col("rk").alias("recall_rank"))
-    q = _queries(spark, sf_dir).select("qid", tokens(F.col("text")).alias("qt"))
-    d = table(spark, sf_dir, "documents").select(numbered("C", F.col("doc_id")).alias("case_id"), "text")
-    pool = d.join(fused, "case_id").select("qid", "case_id", "recall_rank", tokens(F.col("text")).alias("dt")).join(small(q), "qid")
-    scored = pool.withColumn("score", F.round(F.size(F.array_intersect("qt", "dt")) / F.size("qt"), 6))
-    return R.top(scored, 10, F.col("score").desc(), F.col("recall_rank")).select("qid", "case_id", "score", "rk")
+    """Batch retrieval by the default backend: dense on both wordings, sparse, max-merge, rerank, best 10."""
+    def rewrite(queries: DataFrame) -> DataFrame:
+        terms = R.expand_synonyms(queries, _synonyms(spark))
+        return terms.select("qid", "text", F.when(F.col("expansion") != "", F.concat_ws(" ", "text", "expansion")).alias("rewrite"))
+
+    found = Backend(rewrite=rewrite).retrieve(_queries(spark, sf_dir), _corpus(spark, sf_dir))
+    return found.select("qid", "case_id", "score", F.array_join("channels", ",").alias("channels"), "rk")
 
 
 GOLD_SQL = "(select item_id qid, printf('C%06d', doc_id) case_id from benchmark b join documents d on contains(d.text, b.text))"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketry.queries import base, classification, conclusions, documents, evaluation, insights, presentation, relational, retrieval, state
+from docketry.queries import base, classification, conclusions, documents, evaluation, insights, presentation, relational, retrieval, rules, state
 
-MODULES = (classification, conclusions, documents, evaluation, insights, presentation, relational, retrieval, state)
+MODULES = (classification, conclusions, documents, evaluation, insights, presentation, relational, retrieval, rules, state)
 FLAGSHIP = "retrieve_e2e"
 
 
