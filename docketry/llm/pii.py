@@ -6,14 +6,17 @@ without case) with the further occurrences of their names in the same text.  Eac
 or the whole mention); a unit's surrogate comes from a keyed SHA-256 of its type and canonical form, so that the same
 person, address or number gets the same surrogate in every text and spelling (coreference), and is written in the
 mention's own format: digits stay digits, letters keep their case and script, separators, country codes, card issuer
-digits and check-digit validity remain, octets are octets, given names keep their gender.
+digits and check-digit validity (cards, IBANs) remain, octets are octets, given names keep their gender: that of the
+titles they stand with anywhere in the table, also where a title tells none.
 
 Collision check: the surrogates of all distinct units are counted; where two units would share one, or where one
-would be left as it is or equal an original, all but the first take another attempt, until none is left.  Only texts with mentions are
-joined with their surrogates.
+would be left as it is or equal an original, all but the first take another attempt, until none is left.  Where
+originals fill a format (short numbers), surrogates grow by digits after ``MAX_ROUNDS`` attempts.  Only texts with
+mentions are joined with their surrogates.
 
 Defined results: null text stays null, empty text empty; texts without a detected entity stay as they are; repeated
-rows give repeated results; the key is a parameter.  Other columns are kept as they are by ``replaced``.
+rows give repeated results; the key is a parameter.  Other columns are kept as they are by ``replaced``; the count of
+mentions takes underscores until its name is free.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import read, stored
+from docketry.llm.common import dropped, read, stored
 
 KEY = "surrogate-key-1"
-MAX_ROUNDS = 12
+MAX_ROUNDS, LAST_ROUND = 12, 40
 
 # Titles by gender, and syllables that surrogate names are made of, by script.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sir", "господин")
@@ -113,6 +116,12 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x - F.when(x > 9, 9).otherwise(0))
 
 
+def _mod97(digits: Column) -> Column:
+    """Remainder by 97 of an IBAN in upper case with its first four characters at the end."""
+    each = F.transform(F.split(F.concat(F.substr(digits, F.lit(5)), F.substring(digits, 1, 4)), ""), lambda c: F.ascii(c))
+    return F.aggregate(each, F.lit(0), lambda a, c: F.when(c >= 65, (a * 100 + c - 55) % 97).otherwise((a * 10 + c - 48) % 97))
+
+
 def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     """``units`` (kind, canon, shape, attempt) with ``made``: the surrogate of each in the format of its shape.
 
@@ -149,7 +158,12 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     short = F.substr(F.col("_drawn"), F.lit(1), F.length("_drawn") - 1)
     t = t.withColumn("_open", F.concat(short, F.lit("0"))).withColumn("_check", ((10 - _luhn_sum(F.col("_open")) % 10) % 10).cast("string"))
     t = t.withColumn("_valid", (kind == "CARD") & (_luhn_sum(canon) % 10 == 0))
-    t = t.withColumn("_flow", F.when(F.col("_valid"), F.concat(short, F.col("_check"))).otherwise(F.col("_drawn")))
+    # So does a valid IBAN: its two check digits follow from the country and the account.
+    account = F.substr(F.col("_drawn"), F.lit(5))
+    t = t.withColumn("_unchecked", F.concat(F.substring("_drawn", 1, 2), F.lit("00"), account))
+    t = t.withColumn("_iban", (kind == "IBAN") & (_mod97(canon) == 1))
+    iban = F.concat(F.substring("_drawn", 1, 2), F.lpad((98 - _mod97(F.col("_unchecked"))).cast("string"), 2, "0"), account)
+    t = t.withColumn("_flow", F.when(F.col("_valid"), F.concat(short, F.col("_check"))).when(F.col("_iban"), iban).otherwise(F.col("_drawn")))
     seen = lambda i: F.length(F.regexp_replace(F.substr(shape, F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
     poured = F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(F.col("_flow"), seen(i), F.lit(1))).otherwise(c))
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
@@ -176,6 +190,8 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
         .when((shape == F.upper(shape)) & (shape != F.lower(shape)), F.upper("_name"))
         .otherwise(F.col("_name"))
     )
+    longer = kind.isin("PHONE", "CARD", "SSN", "IBAN", "SECRET") & (attempt > MAX_ROUNDS)
+    made = F.concat(made, F.when(longer, F.substr(F.col("_digits"), F.lit(200), attempt - MAX_ROUNDS)).otherwise(""))
     return t.select(*units.columns, made.alias("made"))
 
 
@@ -191,19 +207,31 @@ def attempts_of(units: DataFrame, key: str) -> DataFrame:
     few = F.col("kind").isin("INITIAL", "PARTICLE")  # letters are too few to stay distinct, particles stay as they are
     others = units.where(few).select("kind", "canon", F.lit(0).alias("attempt")).distinct()
     current = stored(units.where(~few).groupBy("kind", "canon").agg(F.min("shape").alias("shape"), F.lit(0).alias("attempt")), "pii-units")
+    first = current
     original = current.select(family.alias("family"), F.lower("canon").alias("form"), F.lit(True).alias("is_original")).distinct()
-    for _ in range(MAX_ROUNDS):
+    for _ in range(LAST_ROUND):
         made = with_surrogates(current, key).select("kind", "canon", "shape", "attempt", family.alias("family"), plain.alias("form"))
         rank = F.row_number().over(Window.partitionBy("family", "form").orderBy("attempt", "canon", "kind"))
         ranked = made.withColumn("rank", rank).join(original, ["family", "form"], "left")
         wrong = (F.col("rank") > 1) | F.coalesce(F.col("is_original"), F.lit(False))
         checked = ranked.select("kind", "canon", "shape", (F.col("attempt") + wrong.cast("int")).alias("attempt"), wrong.alias("again"))
-        current = stored(checked, "pii-attempts")
+        last, current = current, stored(checked, "pii-attempts")
+        if last is not first:  # the originals are read in every round
+            dropped(last)
         if current.where("again").isEmpty():
             return current.select("kind", "canon", "attempt").unionByName(others)
     raise ValueError("surrogates still collide: the key or the name lists are too weak for these entities")
 
 
+def with_gender(units: DataFrame) -> DataFrame:
+    """Given names after a title without gender take the gender that the name has elsewhere."""
+    known = units.where(F.col("kind").isin("GIVEN_M", "GIVEN_F")).groupBy("canon").agg(F.max("kind").alias("__known"))
+    neutral = F.col("kind") == "GIVEN_X"
+    own = units.columns
+    found = units.where(neutral).join(known, "canon", "left").withColumn("kind", F.coalesce("__known", "kind")).select(*own)
+    return units.where(~neutral).unionByName(found)
+
+
 def names_of(units: DataFrame) -> DataFrame:
     """(key, names): for each text a map from the name tokens found in it, in lower case, to their surrogates."""
     tokens = units.where(F.col("kind").startswith("GIVEN") | (F.col("kind") == "SURNAME"))
@@ -230,15 +258,17 @@ def without_names(piece: Column, names: Column) -> Column:
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text`` and the number of mentions that the patterns find as ``n_entities``."""
-    own = docs.columns
+    own, count = docs.columns, "n_entities"
+    while count in own:
+        count += "_"
     # The patterns are searched once; everything else is on the few texts with mentions.
     marked = stored(docs.withColumn("__pii_found", mentions_of(F.coalesce(F.col("text"), F.lit("")))), "pii-found")
-    marked = marked.withColumn("n_entities", F.size("__pii_found"))
-    clean, private = marked.where("n_entities = 0"), marked.where("n_entities > 0")
+    marked = marked.withColumn(count, F.size("__pii_found"))
+    clean, private = marked.where(F.col(count) == 0), marked.where(F.col(count) > 0)
     text_key = F.sha2("text", 256)
     mentions = private.select(text_key.alias("key"), F.posexplode("__pii_found").alias("pos", "mention"))
     units = mentions.select("key", "pos", "mention", F.posexplode(units_of(F.col("mention"))).alias("part", "u"))
-    units = stored(units.select("key", "pos", "part", "mention", "u.*"), "pii-mentions")
+    units = stored(with_gender(stored(units.select("key", "pos", "part", "mention", "u.*"), "pii-parts")), "pii-mentions")
     forms = units.select("kind", "canon", "shape").distinct().join(attempts_of(units, key), ["kind", "canon"])
     made = stored(with_surrogates(forms, key).select("kind", "canon", "shape", "made"), "pii-surrogates")
     title = F.regexp_extract("mention", rf"^((?:{_TITLES})\.? )", 1)
@@ -249,7 +279,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = found.join(names_of(joined), "key", "left")
     rows = private.withColumn("__pii_key", text_key).join(found.withColumnRenamed("key", "__pii_key"), "__pii_key")
     in_place = F.transform(
-        F.sequence(F.lit(0), F.col("n_entities") - 1),
+        F.sequence(F.lit(0), F.col(count) - 1),
         lambda i: F.array_join(F.transform(F.filter("parts", lambda p: p["pos"] == i), lambda p: p["made"]), ""),
     )
     rows = rows.withColumn("__pii_made", in_place).withColumn("__pii_between", F.split("text", PATTERN, -1))
@@ -257,7 +287,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     rows = rows.withColumn("__pii_between", between)
     text = F.array_join(F.zip_with("__pii_between", "__pii_made", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     rows = rows.withColumn("text", text)
-    return clean.select(*own, "n_entities").unionByName(rows.select(*own, "n_entities"))
+    return clean.select(*own, count).unionByName(rows.select(*own, count))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

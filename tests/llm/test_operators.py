@@ -351,6 +351,26 @@ def test_pii(spark, odd, none):
     assert pii.replaced(odd).columns == [*odd.columns, "n_entities"] and pii.replaced(none).count() == 0
 
 
+def iban_remainder(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_pii_checks_gender_and_full_formats(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 2)
+    phones = [f"+1 {n:02d} {m:02d}" for n in range(100) for m in range(0, 100, 2)]
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, DE00 3704 0044 0532 0130 00", 3), (2, "Dr John Smith met Mr John Smith", 0), (3, "Dr Emma Gray", 0), (4, "Mrs Emma Brown", 0)]
+    rows += [(10 + i, "call " + ", ".join(phones[i : i + 500]), 0) for i in range(0, len(phones), 500)]
+    out = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string, n_entities int")).collect()}
+    assert out[1].n_entities == 3 and out[1].n_entities_ == 3
+    a, b, c = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) and (GB\d\d[A-Z]{4}\d{14}), (DE\d\d(?: \d{4}){4} \d\d)", out[1].text).groups()
+    assert iban_remainder(a.replace(" ", "")) == 1 == iban_remainder(b) and "3704 0044" not in out[1].text
+    first, second = re.fullmatch(r"Dr (\S+ \S+) met Mr (\S+ \S+)", out[2].text).groups()
+    assert first == second and any(first.startswith(n) for n in pii.GIVEN_MALE)
+    assert any(out[3].text.split()[1].startswith(n) for n in pii.GIVEN_FEMALE) and out[3].text.split()[1] == out[4].text.split()[1]
+    made = [re.sub(r"\D", "", x) for i in range(0, len(phones), 500) for x in out[10 + i].text[5:].split(", ")]
+    assert len(set(made)) == len(phones) and not set(made) & {re.sub(r"\D", "", p) for p in phones}
+
+
 def test_pii_names_without_title(spark):
     rows = [
         (1, "Mr John Smith came. Smith said: SMITH's car, John-Smith, smith, Smithers."), (2, "Dr. J. Smith left"), (3, "Mr John Paul Smith, Frau von der Leyen"),
