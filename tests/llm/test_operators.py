@@ -393,3 +393,101 @@ def test_html_text_after_removed_parts():
         assert text in html_text.main_text(f"<body>{page}</body>") and "x" not in html_text.main_text(f"<body>{page}</body>").split()
     page = f"<article><section id='social-history'><h2 id='form-and-function'>Head</h2><p class='related-findings'>{p}</section></article>"
     assert html_text.main_text(page) == "Head " + text
+
+
+def test_html_text_keeps_what_wraps_the_page():
+    p = "Some words of a paragraph that is long enough. " * 4
+    text = " ".join(p.split())
+    shapes = [
+        f"<html><head><title>t</title><meta a><p>{p}", f"<head><title>x</title>{p}", f"<div class='content no-sidebar'><p>{p}</div>", f"<body><form><div><p>{p}</div></form></body>",
+        f"<div title='a hidden gem'><p>{p}</div>", f"<div class=widget><p>{p}</p></div>", "<div>" * 1500 + f"<p>{p}" + "</div>" * 1500 + "<div>" * 1500 + "</div>" * 1500,
+        f"<body class='has-banner'><div class='related-work search-results'><p>{p}</div></body>",
+    ]
+    for page in shapes:
+        assert html_text.main_text(page) == text, page[:80]
+    other = "Comments of readers go on and on for many more words than this. " * 12
+    assert html_text.main_text(f"<div><p>{p}</div><div id=comments><p>{other}</div>") == text
+    assert html_text.main_text(f"<div class=widget><p>{p}</p><div class=comments><p>{other[:300]}</div></div>") == text
+    assert html_text.main_text("<p>a <span class=ad>b<span>c</span> d</span>e") == "a e"
+    assert html_text.main_text(f"<div hidden><p>{p}</div><p>{p}") == text == html_text.main_text(f"<div style='DISPLAY : none'><p>{p}</div><p>{p}")
+
+
+def test_html_density_against_a_second_computation():
+    """Densities and sums of well-formed pages from the parser of the standard library, by the formulas alone."""
+    from html.parser import HTMLParser
+    from math import e, log
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.top = {"tag": "body", "kids": [], "c": 0, "t": 0, "lc": 0, "lt": 0}
+            self.open, self.link = [self.top], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("a", "b"):
+                self.open[-1]["t"] += 1
+                self.open[-1]["lt"] += tag == "a"
+                self.link += tag == "a"
+                return
+            self.open.append({"tag": tag, "kids": [], "c": 0, "t": 0, "lc": 0, "lt": 0})
+            self.open[-2]["kids"].append(self.open[-1])
+
+        def handle_endtag(self, tag):
+            if tag in ("a", "b"):
+                self.link -= tag == "a"
+            else:
+                self.open.pop()
+
+        def handle_data(self, data):
+            n = len(" ".join(data.split()))
+            self.open[-1]["c"] += n
+            self.open[-1]["lc"] += n if self.link else 0
+
+    def totals(n):
+        for k in n["kids"]:
+            totals(k)
+            for x in ("c", "lc", "lt"):
+                n[x] += k[x]
+            n["t"] += k["t"] + 1
+
+    def density(n, page):
+        c, t, lc, lt = n["c"], max(n["t"], 1), max(n["lc"], 1), max(n["lt"], 1)
+        if not c:
+            return 0.0
+        base = log(c / max(c - n["lc"], 1) * lc + page * c + e)
+        return max(0.0, c / t * log(max(c / lc * t / lt, 1.0)) / log(base))
+
+    rng = np.random.default_rng(9)
+
+    def page(depth):
+        out = []
+        for _ in range(int(rng.integers(1, 4))):
+            kind = rng.integers(0, 4) if depth else rng.integers(1, 4)
+            words = " ".join(f"w{x}" for x in rng.integers(0, 99, int(rng.integers(1, 40))))
+            out.append([f"<div>{page(depth - 1) if depth else ''}</div>", f"<p>{words}</p>", f"<p>{words} <a>{words}</a></p>", f"<section><b>{words}</b></section>"][kind])
+        return "".join(out)
+
+    for _ in range(40):
+        html = page(4)
+        tree = Tree()
+        tree.feed(html)
+        totals(tree.top)
+        share = tree.top["lc"] / max(tree.top["c"], 1)
+        want, todo = [], [tree.top]
+        for n in todo:
+            own = sum(density(k, share) for k in n["kids"]) if n["kids"] else density(n, share)
+            want.append((n["tag"], n["c"], round(own, 6)))
+            todo.extend(n["kids"])
+        root, pieces = html_text.parsed(html)
+        html_text.decide(root)
+        html_text.without_removed(root, pieces)
+        assert [(n.tag, n.chars, round(n.total, 6)) for n in html_text.measure(root)] == want
+
+
+def test_html_table(spark):
+    p = "Some words of a paragraph that is long enough. " * 4
+    rows = [(1, "u", f"<p>{p}", "x"), (2, None, None, None), (3, "u", "", "x"), (1, "u", f"<p>{p}", "x"), (None, "u", "<nav>a</nav>", "x"), (4, "u", f"<p>{p}" * 3000, "x"), (5, "u", "  \n ", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extracted(pages).collect()), key=repr)
+    assert got == sorted(((i, u, html_text.main_text(h), len(html_text.main_text(h))) for i, u, h, _ in rows), key=repr)
+    assert html_text.extracted(pages.limit(0)).count() == 0 and html_text.extracted(pages).columns == ["page_id", "url", "text", "n_chars"]
