@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import strip
+from docketry.operators.retrieval import compiles
 
 MIME = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "html": "text/html", "htm": "text/html", "txt": "text/plain",
         "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation"}
@@ -30,18 +30,13 @@ def term_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keyword_table(spark: SparkSession, path: str) -> DataFrame:
-    """(tag, pattern): key words of tags; those that are no valid pattern are taken literally."""
-
-    def usable(pattern: str) -> str:
-        try:
-            re.compile(pattern)
-        except re.error:
-            return re.escape(pattern)
-        # Java takes an open brace only as a counter; Python takes an incomplete one literally.
-        return re.sub(r"\{(?!\d+(,\d*)?\})", r"\\{", pattern)
-
-    rows = spark.read.option("header", "true").csv(path).where("trim(keyword) <> ''").dropDuplicates(["risk_tag", "keyword"])
-    return rows.select(F.col("risk_tag").alias("tag"), F.udf(usable, "string")("keyword").alias("pattern"))
+    """(tag, pattern): key words of tags but 其他; those that are no valid pattern are taken literally.
+
+    A dictionary of a few hundred rows: patterns are tried once, on the driver, by the engine that will run them.
+    """
+    read = spark.read.option("header", "true").csv(path).where("trim(keyword) <> '' and risk_tag <> '其他'").select("risk_tag", "keyword").distinct()
+    words = [(r.risk_tag, r.keyword if compiles(r.keyword) else "\\Q" + r.keyword + "\\E") for r in sorted(read.collect())]
+    return spark.createDataFrame(words, "tag string, pattern string")
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
