@@ -97,6 +97,28 @@ def test_ngram_join_long_lists_match_brute_force(spark, monkeypatch, direct, blo
     assert len(seen) > 1 or direct == 64
 
 
+def test_parities_bound_the_difference_of_sets(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 900, 1100, 1500, 2100)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 9 // 10], s[:3] + np.uint64(1 << 21)))) for s in sets]
+    hashes, offsets = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    bits = [np.array(x, np.int64) for x in ngram_join.parities(hashes, offsets).to_pylist()]
+    assert [len(b) * 64 for b in bits[:5]] == [1024, 1024, 2048, 2048, 4096]
+    rows = [(i, b.tolist()) for i, b in enumerate(bits)]
+    d = spark.createDataFrame(rows, "fp long, bits array<long>")
+    halves = {r.fp: r.h for r in d.where("size(bits) > 16").select("fp", ngram_join.half(F.col("bits")).alias("h")).collect()}
+    pairs = [(a, b) for a in range(10) for b in range(10) if a < b and max(len(bits[a]), len(bits[b])) <= 2 * min(len(bits[a]), len(bits[b]))]
+    n = [len(s) for s in sets]
+    table = spark.createDataFrame([(a, b, n[a], n[b], 0, False) for a, b in pairs], "a long, b long, na int, nb int, w int, long boolean")
+    kept = {(r.a, r.b) for r in ngram_join.likely(table, d).collect()}
+    for a, b in pairs:
+        x, y = bits[a], bits[b]
+        x, y = (np.array(halves[a]) if len(x) > len(y) else x), (np.array(halves[b]) if len(y) > len(x) else y)
+        different = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+        assert different <= len(np.setxor1d(sets[a], sets[b]))
+        assert ((a, b) in kept) == (7 * different <= n[a] + n[b])
+
+
 def test_ngram_join_cuts_long_lists(spark, monkeypatch):
     rng = np.random.default_rng(4)
     sizes = rng.integers(40, 90, 500)
