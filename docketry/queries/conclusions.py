@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import conclude as K
 from docketry.operators import retrieval as R
-from docketry.queries.base import query, rounded, rows, table
+from docketry.queries.base import query, rounded, table
 from docketry.queries.retrieval import RRF_SQL, _channels, _queries
 
 
