@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import ann, bpe, exact_dedup, html_text, mixing, ngram_join, pii, token_files, toxicity, warc
+from docketry.llm import ann, bpe, centroids, exact_dedup, html_text, mixing, ngram_join, pii, quality, token_files, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_mixing": mixing.op10_mixing,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_quality": quality.op12_quality,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op10_mixing": mixing.OP10_SQL, "op11_centroids": centroids.OP11_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
