@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.text import fine_value
+from docketry.storage import stored
+
 #: Columns that a list may be sorted by.
 SORTABLE = ("case_id", "regulator", "institution_type", "publish_date", "overall_confidence", "fine_amount")
 
@@ -47,8 +50,12 @@ def apply_filter(cases: DataFrame, f: CaseFilter) -> DataFrame:
 
 
 def page(df: DataFrame, sort: str, descending: bool, number: int, size: int, key: str) -> DataFrame:
-    """One page; unknown sort columns fall back to the key; sizes are 1 to 100, nulls last, ties by key."""
+    """One page; unknown sort columns fall back to the key; sizes are 1 to 100, nulls last, ties by key.
+
+    Fines are texts and sort by their value.
+    """
     column = F.col(sort if sort in SORTABLE and sort in df.columns else key)
+    column = fine_value(column) if sort == "fine_amount" and sort in df.columns else column
     order = column.desc_nulls_last() if descending else column.asc_nulls_last()
     size = max(1, min(100, size))
     return df.orderBy(order, F.col(key)).offset((max(1, number) - 1) * size).limit(size)
@@ -77,27 +84,19 @@ def next_number(ids: DataFrame, column: str, prefix: str) -> DataFrame:
     return ids.agg(F.coalesce(F.max(n), F.lit(0).cast("long")).alias("top"))
 
 
-#: Ranges that new ids are dealt by, and the types that have them.
-RANGES = 256
-NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
-
-
 def allocate(new: DataFrame, existing: DataFrame, column: str, prefix: str, order: str) -> DataFrame:
     """Number the rows of ``new`` after the ids that exist, in ``order``, without a single-task sort.
 
-    Rows are dealt by ranges of the order column (of numbers; other types are one range); each range's offset comes
-    from a count of one row per range.
+    Rows are dealt by ranges of the order column, of any type that sorts, and stored with the number of their range, so
+    that it stays what it is; each range's offset comes from a count of one row per range.
     """
     top = next_number(existing, column, prefix)
-    # The bounds of the ranges are data, so that a row's range does not depend on how tasks are laid out.
-    places = [i / RANGES for i in range(1, RANGES)]
-    bounds = sorted({b for b in new.stat.approxQuantile(order, places, 0.01)} if new.schema[order].dataType.simpleString() in NUMBERS else set())
-    ranged = new.withColumn("_part", F.size(F.filter(F.array(*[F.lit(b) for b in bounds], F.lit(None).cast("double")), lambda b: b < F.col(order))))
-    counts = ranged.groupBy("_part").count()
-    offsets = counts.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    numbered = ranged.join(F.broadcast(offsets.drop("count")), "_part").crossJoin(F.broadcast(top))  # one row per range; one row
-    return numbered.select(*new.columns, F.format_string(prefix + "%06d", F.col("top") + F.col("_base") + inside).alias(column))
+    ranged = stored(new.select(F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias("row"), F.col(order).alias("at")).repartitionByRange("at").withColumn("part", F.spark_partition_id()), "allocated")
+    counts = ranged.groupBy("part").count()
+    offsets = counts.withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    numbered = ranged.join(F.broadcast(offsets.drop("count")), "part").crossJoin(F.broadcast(top))  # one row per range; one row
+    return numbered.select("row.*", F.format_string(prefix + "%06d", F.col("top") + F.col("base") + inside).alias(column))
 
 
 def merge_meta(old: Column, patch: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -71,21 +72,25 @@ def html_tables(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)(<table\b.*?</table\s*>)"), F.lit(1))
 
 
+def _paragraphs(element: ElementTree.Element) -> list[str]:
+    return ["".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")) for p in element.iter() if p.tag.endswith("}p")]
+
+
 def office_text(content: bytes) -> str:
-    """Paragraphs of a DOCX, or the slides of a PPTX under their numbers."""
+    """Paragraphs of a DOCX, or the slides of a PPTX that hold text, each under its number with its shapes' lines."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         if "word/document.xml" in names:
-            parts = [ElementTree.fromstring(z.read("word/document.xml"))]
-        else:
-            slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-            parts = [ElementTree.fromstring(z.read(n)) for n in slides]
+            texts = [t.strip() for t in _paragraphs(ElementTree.fromstring(z.read("word/document.xml")))]
+            return "\n\n".join(t for t in texts if t)
+        slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
         out = []
-        for i, root in enumerate(parts, 1):
-            texts = ["".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")).strip() for p in root.iter() if p.tag.endswith("}p")]
-            texts = [t for t in texts if t]
-            out += [f"## 第{i}页", *texts] if "word/document.xml" not in names else texts
-    return "\n\n".join(out)
+        for i, name in enumerate(slides, 1):
+            shapes = [s for s in ElementTree.fromstring(z.read(name)).iter() if s.tag.endswith("}sp")]
+            texts = [t for t in ("\n".join(_paragraphs(s)) for s in shapes) if t.strip()]
+            if texts:
+                out.append(f"## 第{i}页\n" + "\n".join(texts))
+        return "\n\n".join(out)
 
 
 def office_files(spark: SparkSession, path: str) -> DataFrame:

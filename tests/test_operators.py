@@ -111,13 +111,38 @@ def test_pages_and_filters(spark):
     assert tables.apply_filter(df, tables.CaseFilter(queue="pending")).count() == 3
 
 
+def test_ids_of_any_type(spark):
+    words = [f"w{i * 37 % 101:03}" for i in range(101)]
+    existing = spark.createDataFrame([("N000007",), ("X9",), (None,)], "id string")
+    for order, kind in (("k", "string"), ("at", "struct<a:int,b:string>")):
+        rows = [(w, (i % 5, w)) for i, w in enumerate(words)]
+        new = spark.createDataFrame(rows, "k string, at struct<a:int,b:string>").repartition(7)
+        got = sorted((r.id, getattr(r, order)) for r in tables.allocate(new, existing, "id", "N", order).collect())
+        assert [i for i, _ in got] == [f"N{8 + i:06}" for i in range(101)] and [x for _, x in got] == sorted(x for _, x in got)
+    assert tables.allocate(new.limit(0), existing, "id", "N", "k").count() == 0
+
+
+def test_fines_sort_by_value(spark):
+    df = spark.createDataFrame([("a", "5万元"), ("b", "9千元"), ("c", None), ("d", "罚款10万元")], "case_id string, fine_amount string")
+    assert [r.case_id for r in tables.page(df, "fine_amount", True, 1, 10, "case_id").collect()] == ["d", "a", "b", "c"]
+
+
 def test_office_files(spark, tmp_path):
     body = io.BytesIO()
     with zipfile.ZipFile(body, "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>甲</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>乙</w:t></w:r></w:p></w:body></w:document>')
     (tmp_path / "a.docx").write_bytes(body.getvalue())
     (tmp_path / "b.docx").write_bytes(b"broken")
+    slide = '<p:sld xmlns:p="p" xmlns:a="a">{}</p:sld>'
+    shape = "<p:sp><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></p:sp>"
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        z.writestr("ppt/slides/slide10.xml", slide.format(shape.format("末页")))
+        z.writestr("ppt/slides/slide2.xml", slide.format(""))
+        z.writestr("ppt/slides/slide1.xml", slide.format(shape.format("标题") + shape.format("  ") + shape.format("正文")))
+    (tmp_path / "c.pptx").write_bytes(body.getvalue())
     got = {r.path[-6:]: r for r in files.office_files(spark, str(tmp_path)).collect()}
+    assert got["c.pptx"].text == "## 第1页\n标题\n正文\n\n## 第3页\n末页" and got["c.pptx"].confidence == 0.9
     assert got["a.docx"].text == "甲\n\n乙" and got["b.docx"].error and got["b.docx"].confidence == 0.0
 
 
