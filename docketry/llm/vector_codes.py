@@ -59,7 +59,7 @@ class Trees:
         parts, n, width = codebooks.shape
         size = parts * n
         out = cls(np.zeros(size, np.int64), codebooks.reshape(size, width).copy(), np.full((size, 2), NONE), np.zeros((size, 2)), np.zeros((size, 2)))
-        for p in range(parts):
+        for p in range(parts if n else 0):
             free = iter(range(p * n, (p + 1) * n))
             out._grow(codebooks[p], np.arange(n), free)
         return out
