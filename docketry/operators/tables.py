@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import fine_value
+from docketry.operators.fulltext import FullTextIndex, words
 from docketry.storage import stored
 
 #: Columns that a list may be sorted by.
@@ -31,8 +32,15 @@ def queue_of(related: Column, candidate: Column) -> Column:
     return F.when(related, "confirmed").when(candidate, "pending").otherwise("excluded")
 
 
-def apply_filter(cases: DataFrame, f: CaseFilter) -> DataFrame:
-    """Rows of ``cases`` that fit; a risk is an id if it looks like one, else a tag; regulators match in part."""
+#: Columns whose text a keyword is looked for in.
+KEYWORD_COLUMNS = ("violation_behavior", "penalty_content", "party_name", "case_summary", "risk_tags")
+
+
+def apply_filter(cases: DataFrame, f: CaseFilter, index: FullTextIndex | None = None) -> DataFrame:
+    """Rows of ``cases`` that fit; a risk is an id if it looks like one, else a tag; regulators match in part.
+
+    A keyword asks for all its tokens, by the index of the cases if there is one; without any token it fits nothing.
+    """
     if f.queue and f.queue != "all":
         cases = cases.where(queue_of(F.col("related"), F.col("candidate")) == f.queue)
     if f.risk:
@@ -42,8 +50,12 @@ def apply_filter(cases: DataFrame, f: CaseFilter) -> DataFrame:
         cases = cases.where(F.ilike("regulator", F.lit(f"%{f.regulator}%")))
     if f.institution_type:
         cases = cases.where(F.col("institution_type") == f.institution_type)
-    if f.keyword:
-        cases = cases.where(F.contains("violation_behavior", F.lit(f.keyword)))
+    if f.keyword and index is not None:
+        cases = cases.join(index.containing(f.keyword), "case_id", "left_semi")
+    elif f.keyword:
+        held = words(F.concat_ws(" ", *[c for c in KEYWORD_COLUMNS if c in cases.columns]))
+        asked = F.array_distinct(words(F.lit(f.keyword)))
+        cases = cases.where((F.size(asked) > 0) & (F.size(F.array_intersect(asked, held)) == F.size(asked)))
     if f.date_from:
         cases = cases.where(F.col("publish_date") >= F.lit(f.date_from).cast("date"))
     return cases.where(F.col("publish_date") <= F.lit(f.date_to).cast("date")) if f.date_to else cases

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators import classify, refine, retrieval, review
+from docketry.operators.fulltext import FullTextIndex
 from docketry.operators.metrics import ranking_metrics
 
 
@@ -17,9 +18,9 @@ def tagged(cases: DataFrame) -> DataFrame:
     return out.withColumn("risk_type_ids", classify.tags_to_ids(F.col("risk_tags")))
 
 
-def retrieved(queries: DataFrame, corpus: DataFrame, postings: DataFrame, query_postings: DataFrame, k: int = 10) -> DataFrame:
-    """Lexical and sparse channels of (qid, text) over (case_id, text), fused."""
-    lex = retrieval.lexical(queries, corpus, retrieval.DEPTH["bm25"]).select("qid", F.lit("bm25").alias("channel"), "case_id", "score", "rk")
+def retrieved(queries: DataFrame, index: FullTextIndex, postings: DataFrame, query_postings: DataFrame, k: int = 10) -> DataFrame:
+    """Lexical and sparse channels of (qid, text), fused."""
+    lex = retrieval.lexical(queries, index, retrieval.DEPTH["bm25"]).select("qid", F.lit("bm25").alias("channel"), "case_id", "score", "rk")
     spa = retrieval.sparse(query_postings, postings, retrieval.DEPTH["sparse"]).select("qid", F.lit("sparse").alias("channel"), "case_id", "score", "rk")
     return retrieval.rrf(lex.unionByName(spa), k)
 

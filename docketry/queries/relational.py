@@ -15,7 +15,7 @@ def case_list_page(spark, sf_dir):
     return T.page(found, "regulator", True, 2, 20, "case_id").select("case_id", "regulator", "institution_type")
 
 
-@query(f"select count(*) total from {CASES_SQL} where related and contains(violation_behavior, 'the')")
+@query(f"select count(*) total from {CASES_SQL} where related and list_contains(regexp_extract_all(lower(violation_behavior), '[一-鿿]{{2,8}}|[A-Za-z0-9]{{2,}}'), 'the')")
 def case_list_total(spark, sf_dir):
     return T.apply_filter(cases(spark, sf_dir), T.CaseFilter(queue="confirmed", keyword="the")).agg(F.count("*").alias("total"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docketry.functions.text import numbered
 from docketry.operators import retrieval as R
 from docketry.operators.checks import small
+from docketry.operators.fulltext import FullTextIndex
+from docketry.operators.permits import Permit
 from docketry.plans.backend import Backend
 from docketry.queries.base import CASES_SQL, cases, query, rounded, rows, table, values
 
@@ -29,6 +31,11 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(numbered("C", F.col("doc_id")).alias("case_id"), "text")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> FullTextIndex:
+    """The index of the corpus; it stays for further queries on the same files."""
+    return FullTextIndex.of(_corpus(spark, sf_dir), "fulltext-documents")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     corpus = e.select(numbered("C", F.col("vec_id")).alias("case_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -47,21 +54,29 @@ def dense_topk(spark, sf_dir):
     return R.dense(*_vectors(spark, sf_dir), R.DEPTH["dense"]).select("qid", "case_id", "score", "rk")
 
 
-LEXICAL_SQL = f"""(
-with q as (select distinct item_id qid, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from benchmark),
+BENCHMARK, DOCUMENTS = "(select item_id qid, text from benchmark)", "(select printf('C%06d', doc_id) case_id, text from documents)"
+
+
+def lexical_sql(queries: str = BENCHMARK, docs: str = DOCUMENTS, permit: str = "true") -> str:
+    """The lexical channel in SQL; ``permit`` is a condition over qid and case_id."""
+    return f"""(
+with q as (select distinct qid, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from {queries}),
 n as (select qid, count(*) n_tokens from q group by qid),
-d as (select printf('C%06d', doc_id) case_id, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from documents),
+d as (select case_id, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) token from {docs}),
 tf as (select case_id, token, count(*) tf from d where token in (select token from q) group by all),
-h as (select qid, case_id, count(*) n_hits, sum(tf) tf from q join tf using (token) group by all),
-k as (select h.*, n_hits = n_tokens is_and, max(n_hits = n_tokens) over (partition by qid) any_and from h join n using (qid))
-select * from (select qid, case_id, n_hits::double score, row_number() over (partition by qid order by n_hits desc, tf desc, case_id) rk
+h as (select qid, case_id, count(*) n_hits, sum(tf) tf from q join tf using (token) where {permit} group by all),
+k as (select h.*, n_tokens, n_hits = n_tokens is_and, max(n_hits = n_tokens) over (partition by qid) any_and from h join n using (qid))
+select * from (select qid, case_id, n_hits::double score, is_and, row_number() over (partition by qid order by n_hits desc, tf desc, case_id) rk
   from k where is_and or not any_and) where rk <= {{k}})"""
 
 
+LEXICAL_SQL = lexical_sql()
+
+
 @query("select qid, case_id, score, rk from " + at_k(LEXICAL_SQL, 80))
 def lexical_and_or(spark, sf_dir):
     """All tokens of a query, else any; ranked by tokens and occurrences."""
-    return R.lexical(_queries(spark, sf_dir), _corpus(spark, sf_dir), R.DEPTH["bm25"]).select("qid", "case_id", "score", "rk")
+    return R.lexical(_queries(spark, sf_dir), _index(spark, sf_dir), R.DEPTH["bm25"]).select("qid", "case_id", "score", "rk")
 
 
 def _sparse_inputs(spark, sf_dir):
@@ -128,19 +143,98 @@ def risk_predict(spark, sf_dir):
     return R.predict_risks(docs, [*RULES, (9, "(unclosed", "R009")], SYNONYMS).select("qid", F.array_join("risk_ids", ",").alias("risks"))
 
 
-@query(f"""with terms as (select item_id qid, standard_term term, risk_id from benchmark join {SYN_SQL} s on text like concat('%', business_term, '%')),
-ids as (select distinct qid, risk_id from terms),
-c as (select printf('C%06d', vec_id) case_id, printf('R%03d', label + 1) risk_id from embeddings)
-select * from (select qid, case_id, 1.0::double score, row_number() over (partition by qid order by case_id) rk from ids join c using (risk_id)) where rk <= 30""")
+#: Entries for all ends of the cascade: terms that documents hold together, apart, and not at all.
+ENTRIES = [
+    ("den ", "und der", "R001", 0.9), ("que ", "que los dans zzqx", "R002", 0.8), ("the ", "zzqx qqzx", "R003", 0.7), ("ñ", "xxqz", "R003", 0.6),
+    ("on%ion", "zzqx", "R004", 0.5), ("dans ", "pour les", None, 0.4), ("mente", "xxqz qqzx", "R005", 0.95),
+]
+RULE_CASES_SQL = f"""(select c.*, ['R00' || (doc_id % 7 + 1), 'R00' || (doc_id % 3 + 1)] ids, (doc_id % 13)::double confidence from {CASES_SQL} c)"""
+
+
+@query(f"""with e as {values('business_term, standard_term, risk_id, weight', ENTRIES)}, c as materialized {RULE_CASES_SQL},
+m as (select item_id qid, e.*, row_number() over (partition by item_id order by weight desc, business_term) o from benchmark join e on text like concat('%', business_term, '%') qualify o <= 20),
+t as (select qid, standard_term, min(o) o from m group by all), x as (select qid, string_agg(standard_term, ' ' order by o) text from t group by qid),
+a as (select qid, '命中规则词典：' || string_agg(business_term, '、' order by o) reason from m group by qid),
+f as materialized {at_k(lexical_sql('x', '(select case_id, violation_behavior text from c)', 'case_id in (select case_id from c where related)'), 30)},
+i as (select qid, case_id, count(*)::double score, max(confidence) confidence from (select distinct qid, risk_id from m where risk_id is not null and qid not in (select qid from f)) w
+  join (select case_id, confidence, unnest(list_distinct(ids)) risk_id from c where related) using (risk_id) group by all)
+select qid, case_id, score, rk, case when is_and then 'and' else 'or' end tier, reason from f join a using (qid) union all
+select qid, case_id, score, rk, 'ids', reason from (select *, row_number() over (partition by qid order by score desc, confidence desc, case_id) rk from i) join a using (qid) where rk <= 30""")
 def rule_channel(spark, sf_dir):
-    """Dictionary terms in the query lead to cases with their risk ids."""
-    found = _queries(spark, sf_dir).join(small(_synonyms(spark)), F.expr("text like concat('%', business_term, '%')")).select("qid", "risk_id").distinct()
-    c = table(spark, sf_dir, "embeddings").select(numbered("C", F.col("vec_id")).alias("case_id"), F.format_string("R%03d", F.col("label") + 1).alias("risk_id"))
-    return R.top(c.join(small(found), "risk_id").select("qid", "case_id", F.lit(1.0).alias("score")), R.DEPTH["rule"])
+    """Dictionary terms of a query lead to cases with all of them, else with any, else with their risk ids."""
+    c = rule_cases(spark, sf_dir)
+    entries = rows(spark, "business_term string, standard_term string, risk_id string, weight double", ENTRIES)
+    found = R.rule_channel(_queries(spark, sf_dir), _index(spark, sf_dir), entries, c, R.DEPTH["rule"], Permit.of(_queries(spark, sf_dir), c))
+    return found.select("qid", "case_id", "score", "rk", "tier", "reason")
+
+
+def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    ids = F.array(F.concat(F.lit("R00"), (i % 7 + 1).cast("string")), F.concat(F.lit("R00"), (i % 3 + 1).cast("string")))
+    return cases(spark, sf_dir).withColumn("risk_type_ids", ids).withColumn("confidence", (i % 13).cast("double"))
+
+
+PERMIT_SQL = f"""exists (select 1 from (select *, case when item_id % 3 = 0 then 'rc1' end g, case when item_id % 4 = 1 then 'en' else '' end t, case when item_id % 5 = 2 then 'R002' end r,
+    case when item_id % 6 = 3 then date '2024-02-01' end df from benchmark) b, {RULE_CASES_SQL} c where b.item_id = qid and c.case_id = tf.case_id and related and (g is null or regulator = g)
+    and (t = '' or institution_type = t) and (r is null or list_contains(ids, r)) and (df is null or date '2024-01-01' + (doc_id % 100)::int >= df))"""
+
+
+def _asking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries some of which ask for a regulator, a type, a risk or a date, and cases that have these."""
+    i = F.col("qid")
+    q = _queries(spark, sf_dir).select(
+        "qid", "text", F.when(i % 3 == 0, "rc1").alias("regulator"), F.when(i % 4 == 1, "en").otherwise("").alias("institution_type"),
+        F.when(i % 5 == 2, "R002").alias("risk_type"), F.when(i % 6 == 3, "2024-02-01").alias("date_from"),
+    )
+    return q, rule_cases(spark, sf_dir).withColumn("publish_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 100).cast("int")))
+
+
+@query("select qid, case_id, score, rk from " + at_k(lexical_sql(permit=PERMIT_SQL), 80))
+def lexical_permitted(spark, sf_dir):
+    """The lexical channel among the cases that count and that each query asks for."""
+    q, c = _asking(spark, sf_dir)
+    return R.lexical(q, _index(spark, sf_dir), R.DEPTH["bm25"], Permit.of(q, c)).select("qid", "case_id", "score", "rk")
+
+
+@query(f"""with q as (select vec_id qid, embedding e, case when vec_id % 100 = 0 then 3 end l from embeddings where vec_id % 50 = 0),
+s as (select qid, printf('C%06d', c.vec_id) case_id, round(list_cosine_similarity(e::double[], c.embedding::double[]), 6) score from q, embeddings c
+  where c.vec_id % 4 > 0 and (l is null or c.label = l))
+select * from (select *, row_number() over (partition by qid order by score desc, case_id) rk from s) where rk <= 200""")
+def dense_permitted(spark, sf_dir):
+    """Exact neighbours among the vectors that count and have the label that the query asks for."""
+    q, c = _vectors(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings")
+    attributes = e.select(numbered("C", F.col("vec_id")).alias("case_id"), (F.col("vec_id") % 4 > 0).alias("related"), F.col("label").cast("string").alias("regulator"))
+    q = q.withColumn("regulator", F.when(F.col("qid") % 100 == 0, "3"))
+    return R.dense(q, c, R.DEPTH["dense"], permit=Permit.of(q, attributes)).select("qid", "case_id", "score", "rk")
+
+
+
+@query("""with q as (select item_id qid, ['R00' || (item_id % 5 + 1)] ids, case item_id % 3 when 0 then ['其他'] when 1 then ['夸大收益'] else [] end tags from benchmark),
+default_tags as (select * from (values ('R001', '销售误导'), ('R002', '合同外利益'), ('R003', '虚假宣传'), ('R004', '代理人管理不到位'), ('R005', '虚列费用套取资金'), ('R011', '其他')) v(id, tag)),
+qi as (select distinct qid, id from (select qid, unnest(ids) id from q union all select qid, case t when '其他' then 'R011' else 'R001' end from (select qid, unnest(tags) t from q))),
+qt as (select qid, unnest(tags) tag from q union select qid, tag from qi join default_tags using (id)),
+c as (select printf('C%06d', doc_id) case_id, (doc_id % 17)::double confidence, ['R00' || (doc_id % 8 + 1)] ids,
+  case doc_id % 4 when 0 then ['销售误导'] when 1 then ['销售误导', '其他'] when 2 then [] end tags, doc_id % 10 > 0 related from documents),
+m as (select qid, case_id, confidence from qi join (select *, unnest(ids) id from c where related) using (id)
+  union all select qid, case_id, confidence from qt join (select *, unnest(tags) tag from c where related) using (tag))
+select qid, case_id, score, rk from (select qid, case_id, count(*)::double score, row_number() over (partition by qid order by count(*) desc, max(confidence) desc, case_id) rk from m group by all) where rk <= 80""")
+def tag_channel(spark, sf_dir):
+    """Common risk ids and tags, each filled up from the other."""
+    i = F.col("doc_id")
+    tags = F.when(i % 4 == 0, F.array(F.lit("销售误导"))).when(i % 4 == 1, F.array(F.lit("销售误导"), F.lit("其他"))).when(i % 4 == 2, F.array().cast("array<string>"))
+    c = table(spark, sf_dir, "documents").select(
+        numbered("C", i).alias("case_id"), (i % 17).cast("double").alias("confidence"), F.array(F.concat(F.lit("R00"), (i % 8 + 1).cast("string"))).alias("risk_type_ids"),
+        tags.alias("risk_tags"), (i % 10 > 0).alias("related"),
+    )
+    n = F.col("qid")
+    asked = F.when(n % 3 == 0, F.array(F.lit("其他"))).when(n % 3 == 1, F.array(F.lit("夸大收益"))).otherwise(F.array().cast("array<string>"))
+    q = _queries(spark, sf_dir).select("qid", F.array(F.concat(F.lit("R00"), (n % 5 + 1).cast("string"))).alias("risk_ids"), asked.alias("tags"))
+    return R.tag_channel(q, c, R.DEPTH["tag"], Permit.of(q, c)).select("qid", "case_id", "score", "rk")
 
 
 def _channels(spark, sf_dir):
-    lex = R.lexical(_queries(spark, sf_dir), _corpus(spark, sf_dir), R.DEPTH["bm25"]).select("qid", F.lit("bm25").alias("channel"), "case_id", "score", "rk")
+    lex = R.lexical(_queries(spark, sf_dir), _index(spark, sf_dir), R.DEPTH["bm25"]).select("qid", F.lit("bm25").alias("channel"), "case_id", "score", "rk")
     spa = R.sparse(*_sparse_inputs(spark, sf_dir), R.DEPTH["sparse"]).select("qid", F.lit("sparse").alias("channel"), "case_id", "score", "rk")
     return lex.unionByName(spa)
 

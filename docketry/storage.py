@@ -50,7 +50,8 @@ def committed(spark: SparkSession, path: str) -> list[int]:
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return []
-    return sorted(r.batch for r in spark.read.schema("batch long").parquet(f"{path}/commits/*").collect())  # one row for each batch
+    success = lambda at: spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(folder) if files.exists(success(f.getPath())))
 
 
 def commit(spark: SparkSession, path: str, batch: int) -> None:
