@@ -247,9 +247,17 @@ class FullTextIndex:
         sides = self._sides(asked)
         wanted = results.select("qid", "case_id").join(sides[1](asked), "qid")
         places = wanted.join(self.postings(asked, ["positions"], sides), ["case_id", "token"])
-        hits = places.groupBy("qid", "case_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("hits"), F.collect_list("token").alias("tokens"))
-        pairs = results.select("qid", "case_id").join(hits, ["qid", "case_id"], "left").join(texts.select("case_id", F.coalesce("text", F.lit("")).alias("text")), "case_id")
-        return pairs.select("qid", "case_id", headline(F.col("text"), F.col("hits"), F.col("tokens")).alias("headline"))
+        parts = results.select("qid", "case_id").join(texts.select("case_id", word_parts(F.col("text")).alias("parts")), "case_id")
+        hits = places.select("qid", "case_id", "token", F.explode("positions").alias("at"))
+        hits = hits.join(parts.select("qid", "case_id", (F.size("parts") - 1).alias("n_words")), ["qid", "case_id"]).where(F.col("at") < F.col("n_words"))
+        ahead = Window.partitionBy("qid", "case_id").orderBy("at").rangeBetween(0, MAX_WORDS - 1)
+        hits = hits.withColumn("n", F.count("*").over(ahead)).withColumn("last", F.max("at").over(ahead))
+        densest = F.max_by(F.struct("at", "last", "n_words"), F.struct("n", (-F.col("at")).alias("early")))
+        windows = hits.groupBy("qid", "case_id").agg(densest.alias("w"), F.collect_set("token").alias("tokens"))
+        size = F.least(F.greatest(F.col("w.last") - F.col("w.at") + 1, F.lit(MIN_WORDS)), F.col("w.n_words") - F.col("w.at"))
+        windows = windows.select("qid", "case_id", F.col("w.at").alias("start"), size.alias("size"), "tokens")
+        cut = parts.join(windows, ["qid", "case_id"], "left").select("qid", "case_id", F.slice("parts", F.coalesce("start", F.lit(0)) + 2, F.coalesce("size", F.lit(0))).alias("cut"), "size", "tokens")
+        return cut.select("qid", "case_id", F.when(F.col("size") > 0, shown(F.col("cut"), F.col("tokens"))).alias("headline"))
 
 
 def set_aside(dfs: Column, h: Column) -> Column:
@@ -266,21 +274,16 @@ def set_aside(dfs: Column, h: Column) -> Column:
     return -F.array_min(choices)["minus"]
 
 
-def headline(text: Column, hits: Column, tokens: Column) -> Column:
-    """The densest window of a text by the positions of hits (ascending); null without a hit in it."""
-    # Parts: what stands before the first word, then each word with what follows it.
-    parts = F.split(F.regexp_replace(text, "(" + TOKEN + ")", "\u0001$1\u0002"), "\u0001")
-    n = F.size(parts) - 1
-    inside = F.filter(hits, lambda p: p < n)
-    dense = F.transform(inside, lambda p, i: F.struct(F.size(F.filter(F.slice(inside, i + 1, MAX_WORDS), lambda x: x < p + MAX_WORDS)).alias("n"), (-p).alias("minus")))
-    start = -F.array_max(dense)["minus"]
-    last = F.array_max(F.filter(inside, lambda p: p < start + MAX_WORDS))
-    size = F.least(F.greatest(last - start + 1, F.lit(MIN_WORDS)), n - start)
+def word_parts(text: Column) -> Column:
+    """What stands before the first word of a text, then each word with what follows it, set off by a control character."""
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "(" + TOKEN + ")", "\u0001$1\u0002"), "\u0001")
 
-    def shown(part: Column, i: Column) -> Column:
+
+def shown(cut: Column, tokens: Column) -> Column:
+    """Some parts as a text, with the words among ``tokens`` marked; nothing follows the last word."""
+    def one(part: Column) -> Column:
         word, gap = F.substring_index(part, "\u0002", 1), F.substring_index(part, "\u0002", -1)
-        word = F.when(F.array_contains(tokens, F.lower(word)), F.concat(F.lit(MARK), word, F.lit(END_MARK))).otherwise(word)
-        return F.when(i == size - 1, word).otherwise(F.concat(word, gap))
+        return F.concat(F.when(F.array_contains(tokens, F.lower(word)), F.concat(F.lit(MARK), word, F.lit(END_MARK))).otherwise(word), F.lit("\u0002"), gap)
 
-    cut = F.array_join(F.transform(F.slice(parts, start + 2, size), shown), "")
-    return F.when(F.size(inside) > 0, cut)
+    joined = F.array_join(F.transform(cut, one), "\u0001")
+    return F.regexp_replace(F.regexp_replace(joined, "\u0002[^\u0001\u0002]*$", ""), "[\u0001\u0002]", "")

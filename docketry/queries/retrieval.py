@@ -218,7 +218,7 @@ c as (select printf('C%06d', doc_id) case_id, (doc_id % 17)::double confidence,
   case doc_id % 4 when 0 then ['销售误导'] when 1 then ['销售误导', '其他'] when 2 then [] end tags, doc_id % 10 > 0 related from documents),
 m as (select qid, case_id, confidence from qi join (select *, unnest(ids) id from c where related) using (id)
   union all select qid, case_id, confidence from qt join (select *, unnest(tags) tag from c where related) using (tag))
-select qid, case_id, score, rk from (select qid, case_id, count(*)::double score, row_number() over (partition by qid order by count(*) desc, max(confidence) desc, case_id) rk from m group by all) where rk <= 80""")
+select qid, case_id, score, rk from (select qid, case_id, count(*)::double score, row_number() over (partition by qid order by count(*) desc, max(confidence) desc, case_id) rk from m group by qid, case_id) where rk <= 80""")
 def tag_channel(spark, sf_dir):
     """Common risk ids and tags, each filled up from the other."""
     i = F.col("doc_id")
