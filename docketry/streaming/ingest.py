@@ -1,9 +1,13 @@
-"""Ingestion as a stream of files: each micro-batch is parsed, deduplicated against the table and appended."""
+"""Ingestion as a stream of files: contents seen before are left out by the stream's state, new ones parsed and appended."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docketry.operators.extract import confidence, decision_date, fields, regulator
 from docketry.operators.review import normalize_ocr
@@ -22,26 +26,22 @@ def extracted(texts: DataFrame) -> DataFrame:
     return d.withColumn("confidence", score).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def new_only(batch: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows whose content is neither in the table nor earlier in the batch."""
-    first = F.row_number().over(Window.partitionBy("digest").orderBy("file_id")) == 1
-    return batch.withColumn("_first", first).where("_first").drop("_first").join(table.select("digest"), "digest", "left_anti").select(*batch.columns)
+def first_of_each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The file with the smallest name of a content that no earlier batch had; the state is that it has been seen."""
+    least = min((row for batch in batches for row in zip(batch["file_id"], batch["text"])), key=lambda r: r[0], default=None)
+    if least is not None and not state.exists:
+        state.update((True,))
+        yield pd.DataFrame([least], columns=["file_id", "text"])
 
 
 def start(spark: SparkSession, uploads: str, table: str, checkpoint: str):
-    """Stream of text files below ``uploads`` into the Parquet ``table``; a rerun of a batch adds nothing twice."""
-
-    def ingest(batch: DataFrame, batch_id: int) -> None:
-        records = extracted(batch)
-        try:
-            known = spark.read.schema(SCHEMA).parquet(table)
-            records = new_only(records, known)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            records = new_only(records, records.limit(0))
-        records.write.mode("append").parquet(table)
+    """Stream of text files below ``uploads`` into the Parquet ``table``, each content once.
 
+    Which contents have been seen is state of the stream, by digest, so that a batch costs what its own files cost,
+    however large the table is; state and the sink's log let a batch that is run again add nothing twice.
+    """
     texts = spark.readStream.format("text").option("wholetext", "true").load(uploads)
-    files = texts.select(F.col("_metadata.file_name").alias("file_id"), F.col("value").alias("text"))
-    return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = texts.select(F.col("_metadata.file_name").alias("file_id"), F.col("value").alias("text"), F.sha2("value", 256).alias("digest"))
+    new = files.groupBy("digest").applyInPandasWithState(first_of_each, "file_id string, text string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    sink = extracted(new).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
+    return sink.outputMode("append").trigger(availableNow=True).start()
