@@ -9,6 +9,7 @@ from docketry.functions.text import numbered
 from docketry.operators import retrieval as R
 from docketry.operators import tables as T
 from docketry.operators.fulltext import FullTextIndex
+from docketry.operators.vectorindex import VectorIndex
 from docketry.plans.four_way import FourWay
 from docketry.queries import retrieval as Q
 from docketry.queries.base import CASES_SQL, cases, query, rows, table
@@ -72,6 +73,22 @@ def _four_way(spark: SparkSession, sf_dir: str):
     return FourWay(entries, predict=predict).retrieve(Q._queries(spark, sf_dir), c, Q._index(spark, sf_dir))
 
 
+@query("select qid, case_id, score, rk from " + Q.at_k(Q.DENSE_SQL, 100))
+def vector_index_exact(spark, sf_dir):
+    """The exact way of the stored vector index, after a batch that writes every third vector again."""
+    queries, corpus = Q._vectors(spark, sf_dir)
+    index = VectorIndex.over(corpus.where(F.substring("case_id", -1, 1) != "3"))
+    index.write(corpus.where(F.substring("case_id", -1, 1).isin("3", "4")))
+    return index.search(queries, R.DEPTH["vector"], exact=True)
+
+
+@query()
+def vector_index_search(spark, sf_dir):
+    """Neighbours of every fiftieth vector from the cells that a query probes (a test holds the recall)."""
+    queries, corpus = Q._vectors(spark, sf_dir)
+    return VectorIndex.over(corpus).search(queries, R.DEPTH["vector"])
+
+
 @query()
 def retrieve_four_way(spark, sf_dir) -> DataFrame:
     """Ranks, channels and reasons of the four-channel backend (parts of it have SQL of their own)."""
