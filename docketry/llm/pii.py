@@ -42,8 +42,10 @@ SYLLABLES_CYRILLIC = "бар ден фол гар хал жен кор лан м
 
 _TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES))
 PARTICLES = "al bin da de del della den der di dos du el ibn la le ten ter van von y".split()
-_IN_NAME = r"(?:[\p{L}\p{M}]|['’-](?!s(?!\p{L}))(?=\p{L}))"
-_NAME = rf"(?:\p{{Lu}}{_IN_NAME}+|\p{{IsHan}}{{2,4}}|[\p{{Lo}}&&[^\p{{IsHan}}]][\p{{Lo}}\p{{M}}]+)"
+# Letters, and signs between them: possessive, so that a word of any length takes no stack; 60 signs at most in one piece.
+_LETTERS, _JOINT = r"[\p{L}\p{M}]++", r"['’-](?!s(?!\p{L}))(?=\p{L})"
+_RUN = rf"(?:{_JOINT})?{_LETTERS}(?:{_JOINT}{_LETTERS}){{0,60}}+"
+_NAME = rf"(?:\p{{Lu}}{_RUN}|\p{{IsHan}}{{2,4}}|[\p{{Lo}}&&[^\p{{IsHan}}]][\p{{Lo}}\p{{M}}]+)"
 _INITIAL = r"(?:(?:\p{Lu}\.)+|\p{Lu})"
 _BEFORE = rf"(?:(?:{_INITIAL}|{'|'.join(PARTICLES)}) ){{0,4}}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -191,7 +193,8 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
         .otherwise(F.col("_name"))
     )
     longer = kind.isin("PHONE", "CARD", "SSN", "IBAN", "SECRET") & (attempt > MAX_ROUNDS)
-    made = F.concat(made, F.when(longer, F.substr(F.col("_digits"), F.lit(200), attempt - MAX_ROUNDS)).otherwise(""))
+    more = F.substr(F.col("_digits"), F.lit(200), attempt - MAX_ROUNDS)
+    made = F.when(longer, F.concat(made, more)).when((kind == "EMAIL") & (attempt > MAX_ROUNDS), F.replace(made, F.lit("@"), F.concat(more, F.lit("@")))).otherwise(made)
     return t.select(*units.columns, made.alias("made"))
 
 
@@ -248,7 +251,7 @@ def without_names(piece: Column, names: Column) -> Column:
         made = F.when(F.length(w) > 1, F.when(w == F.upper(w), F.upper(made)).otherwise(made))
         return F.when(w.rlike(r"^\p{Lu}"), F.coalesce(made, w)).otherwise(w)
 
-    words = F.regexp_extract_all(piece, F.lit(rf"{_IN_NAME}+|(?:(?!{_IN_NAME})[\s\S])+"), F.lit(0))
+    words = F.regexp_extract_all(piece, F.lit(rf"{_RUN}|[^\p{{L}}\p{{M}}'’-]++|[\s\S]"), F.lit(0))
     whole = lambda w: F.map_contains_key(names, F.lower(w))
     text = F.array_join(F.transform(words, lambda w: F.when(whole(w), word(w)).otherwise(F.array_join(F.transform(F.split(w, "-"), word), "-"))), "")
     caseless = F.filter(F.map_keys(names), lambda n: n.rlike(r"^\p{Lo}"))
@@ -261,12 +264,14 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     own, count = docs.columns, "n_entities"
     while count in own:
         count += "_"
-    # The patterns are searched once; everything else is on the few texts with mentions.
-    marked = stored(docs.withColumn("__pii_found", mentions_of(F.coalesce(F.col("text"), F.lit("")))), "pii-found")
-    marked = marked.withColumn(count, F.size("__pii_found"))
-    clean, private = marked.where(F.col(count) == 0), marked.where(F.col(count) > 0)
+    # The patterns are searched once; everything else is on the few texts with mentions.  All columns of a row are one, so that
+    # none can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    marked = stored(docs.select(row, F.col("text"), mentions_of(F.coalesce(F.col("text"), F.lit(""))).alias("found")), "pii-found")
+    marked = marked.withColumn("n_found", F.size("found"))
+    clean, private = marked.where("n_found = 0"), marked.where("n_found > 0")
     text_key = F.sha2("text", 256)
-    mentions = private.select(text_key.alias("key"), F.posexplode("__pii_found").alias("pos", "mention"))
+    mentions = private.select(text_key.alias("key"), F.posexplode("found").alias("pos", "mention"))
     units = mentions.select("key", "pos", "mention", F.posexplode(units_of(F.col("mention"))).alias("part", "u"))
     units = stored(with_gender(stored(units.select("key", "pos", "part", "mention", "u.*"), "pii-parts")), "pii-mentions")
     forms = units.select("kind", "canon", "shape").distinct().join(attempts_of(units, key), ["kind", "canon"])
@@ -277,17 +282,16 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     joined = units.distinct().join(made, ["kind", "canon", "shape"])
     found = joined.groupBy("key").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     found = found.join(names_of(joined), "key", "left")
-    rows = private.withColumn("__pii_key", text_key).join(found.withColumnRenamed("key", "__pii_key"), "__pii_key")
+    rows = private.withColumn("key", text_key).join(found, "key")
     in_place = F.transform(
-        F.sequence(F.lit(0), F.col(count) - 1),
+        F.sequence(F.lit(0), F.col("n_found") - 1),
         lambda i: F.array_join(F.transform(F.filter("parts", lambda p: p["pos"] == i), lambda p: p["made"]), ""),
     )
-    rows = rows.withColumn("__pii_made", in_place).withColumn("__pii_between", F.split("text", PATTERN, -1))
-    between = F.when(F.col("names").isNull(), F.col("__pii_between")).otherwise(F.transform("__pii_between", lambda x: without_names(x, F.col("names"))))
-    rows = rows.withColumn("__pii_between", between)
-    text = F.array_join(F.zip_with("__pii_between", "__pii_made", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rows = rows.withColumn("text", text)
-    return clean.select(*own, count).unionByName(rows.select(*own, count))
+    rows = rows.withColumn("made", in_place).withColumn("between", F.split("text", PATTERN, -1))
+    rows = rows.withColumn("between", F.when(F.col("names").isNull(), F.col("between")).otherwise(F.transform("between", lambda x: without_names(x, F.col("names")))))
+    text = F.array_join(F.zip_with("between", "made", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    out = rows.select(F.col("row").withField("text", text).alias("row"), "n_found")
+    return clean.select("row", "n_found").unionByName(out).select("row.*", F.col("n_found").alias(count))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,13 +206,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Linear:
     return fit(known, rows, np.concatenate(cols).astype(np.int64), np.array([r.positive for r in found], bool), float(prior))
 
 
-def scored(docs: DataFrame, model: Linear, keep: bool = False) -> DataFrame:
-    """``docs`` (all columns if ``keep``, else doc_id) with the score of each whole text."""
+def scored(docs: DataFrame, model: Linear, keep: bool = False, below: float | None = None) -> DataFrame:
+    """``docs`` (all columns if ``keep``, else doc_id) with the score of each whole text; without it the rows ``below`` one."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.features, model.weights, model.bias))
     own = docs.columns if keep else ["doc_id"]
     fields = [docs.schema[c] for c in own]
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.col("text").alias("t"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col("text").alias("t"))
     names = [f"c{i}" for i in range(len(own))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,15 +226,13 @@ def scored(docs: DataFrame, model: Linear, keep: bool = False) -> DataFrame:
     small_batches(spark)
     schema = rows.select(*names).schema.add("score", "double")
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, fields)], "score")
+    named = [F.col(n).alias(f.name) for n, f in zip(names, fields)]
+    return out.select(*named, "score") if below is None else out.where(F.col("score") < below).select(*named)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose score is below the threshold, with all their columns."""
-    model = train(docs, labels)
-    own = docs.columns
-    marked = scored(docs.select(*own), model, keep=True)
-    return marked.toDF(*own, "__score").where(F.col("__score") < THRESHOLD).select(*own)
+    return scored(docs, train(docs, labels), keep=True, below=THRESHOLD)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.loaded(path, pattern).ranks, special_tokens={})
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(tokens) == len(mixed) and all(t.n_tokens == len(library.encode_ordinary(texts[t.doc_id])) for t in tokens)
+
+
+CLASHING = ["names", "parts", "row", "found", "between", "made", "key", "id", "gone", "score", "__score", "__maybe", "__gone", "a.b", "c0", "t"]
+
+
+def test_columns_that_clash_or_hold_a_dot(spark):
+    """Stages and replacement keep columns of any name as they are."""
+    from pyspark.sql import functions as F
+
+    from docketry.llm import ngram_join, pii, toxicity
+
+    words = " ".join(f"w{i}" for i in range(30))
+    texts = [words, words, "Write to Mr John Smith at a@b.com", None, "You are awful and vile", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in CLASHING])
+    labels = spark.createDataFrame([(i, 1, int(i == 4)) for i in range(6)], "doc_id long, quality int, toxic int")
+    for out in (ngram_join.one_of_each(docs), toxicity.without_toxic(docs, labels), pii.replaced(docs)):
+        rows = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns and rows
+        assert all(r[2 + i] == n for r in rows for i, n in enumerate(CLASHING))
+    assert sorted(r[0] for r in ngram_join.one_of_each(docs).collect()) == [0, 2, 3, 4, 5]
+
+
+def test_long_words_and_many_short_addresses(spark):
+    """A word of 200,000 letters and runs of signs take no stack; 676 addresses of one form stay distinct."""
+    import string
+
+    from docketry.llm import pii
+
+    long = "Mrs Anna Miller said " + "Ab" * 100_000 + " " + "-" * 60_000 + " " + "a-" * 30_000 + "b and " + "7" * 50_000 + " Miller."
+    mails = " ".join(f"{a}{b}@y.com" for a in string.ascii_lowercase for b in string.ascii_lowercase)
+    got = {r.doc_id: r.text for r in pii.replaced(spark.createDataFrame([(1, long), (2, mails)], "doc_id long, text string")).collect()}
+    assert "Miller" not in got[1] and "Ab" * 1000 in got[1] and "7" * 50_000 in got[1]
+    made = got[2].split()
+    assert len(set(made)) == 676 and not set(made) & set(mails.split()) and all(m.endswith(".com") and m.count("@") == 1 for m in made)
