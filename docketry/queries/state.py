@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry.functions.text import numbered
 from docketry.operators import state as S
+from docketry.plans.gold_import import GoldTables
 from docketry.queries.base import query, rows, table, values
+from docketry.storage import scratch
 
 
 def _cases(spark, sf_dir):
@@ -104,3 +107,34 @@ def label_movers(spark, sf_dir):
 def reports_by_score(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal").cast("double")).alias("hit_score"))
     return S.by_hit_score(s, "s_nationkey", "s_suppkey").select("s_nationkey", "s_suppkey", "rk")
+
+
+GOLD_OLD = "(select printf('C%06d', doc_id) case_id, printf('F%06d', doc_id % 40) file_id, lang party_name, source regulator, text from documents where doc_id % 3 = 0)"
+
+
+@query(f"""with old as {GOLD_OLD}, new as (select printf('C%06d', doc_id) case_id, printf('F%06d', doc_id % 60) file_id, case when doc_id % 4 = 0 then '未知当事人' else source end party_name,
+  case when doc_id % 5 > 0 then lang end regulator, doc_id from documents where doc_id % 2 = 0),
+c as (select case_id, file_id, party_name, 'gold' as method, case when case_id in (select case_id from old) then 'old' else 'competition_gold' end reason from new
+  union all select case_id, file_id, party_name, 'old', 'old' from old where case_id not in (select case_id from new)),
+r as (select file_id, max_by(regulator, doc_id) filter (where regulator is not null) regulator from new group by file_id),
+o as (select file_id, min(regulator) regulator from old group by file_id)
+select case_id, c.file_id, party_name, method, reason, coalesce(r.regulator, o.regulator) regulator from c left join r using (file_id) left join o using (file_id)""")
+def gold_import(spark, sf_dir):
+    """Cases and their documents after records were merged into tables that held a third of the cases before."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    old = d.where(i % 3 == 0).select(numbered("C", i).alias("case_id"), numbered("F", i % 40).alias("file_id"), F.col("lang").alias("party_name"), F.col("source").alias("regulator"))
+    known = old.groupBy("file_id").agg(F.min("regulator").alias("regulator")).select("file_id", F.lit("x").alias("file_name"), "regulator", none("string").alias("raw_text"), F.lit("done").alias("parse_status"))
+    filled = old.select("*", *[none("string").alias(c) for c in ("institution_type", "penalty_doc_no", "case_summary")], *[F.lit("x").alias(c) for c in ("violation_behavior", "penalty_content")],
+        F.lit(True).alias("related"), F.lit(True).alias("candidate"), F.array(F.lit("old")).alias("candidate_reasons"), *[F.array().cast("array<string>").alias(c) for c in ("risk_tags", "risk_type_ids")],
+        F.lit(0.5).alias("confidence"), F.lit("old").alias("method"))
+    g = GoldTables(spark, scratch(spark, "gold-tables"))
+    g.replace(documents=known, cases=filled)
+    records = d.where(i % 2 == 0).select(
+        numbered("C", i).alias("case_id"), numbered("F", i % 60).alias("file_id"), i.alias("line"), F.when(i % 4 == 0, " ").otherwise(F.col("source")).alias("party_name"),
+        *[none("string").alias(c) for c in ("institution_type", "penalty_doc_no", "violation_behavior", "case_summary")], F.col("text").alias("penalty_content"),
+        F.when(i % 5 > 0, F.col("lang")).alias("regulator"), none("array<string>").alias("risk_tags"), F.lit(0.9).alias("confidence"),
+    )
+    g.merge(records, d.select(numbered("F", i).alias("file_id"), F.col("text").alias("raw_text")))
+    shown = g.table("documents").select("file_id", "regulator")
+    return g.table("cases").drop("regulator").join(shown, "file_id", "left").select("case_id", "file_id", "party_name", "method", F.col("candidate_reasons")[0].alias("reason"), "regulator")
