@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,17 +65,15 @@ class Backend:
         counts = token_counts(corpus, "case_id")
         vectors, n_queries, n_corpus = hashed_vectors(counts, "case_id"), queries.count(), corpus.count()
         rewritten = token_counts(asked.select("qid", "rewrite"), "qid", "rewrite")
-        found = [R.sparse(rewritten, counts, self.depth["sparse"]).select("qid", F.lit("sparse").alias("channel"), "case_id", "score", "rk")]
+        sparse = R.sparse(rewritten, counts, self.depth["sparse"]).select("qid", F.lit("sparse").alias("channel"), "case_id", "score", "rk")
         sides = [("dense", rewritten), ("dense_raw", token_counts(queries, "qid"))]
         if self.hyde:
             sides.append(("dense_hyde", token_counts(self.hyde(queries).where("hyde <> ''").select("qid", "hyde"), "qid", "hyde")))
-        for name, side in sides:
-            near = R.dense(hashed_vectors(side, "qid"), vectors, self.depth["dense"], n_queries, n_corpus)
-            found.append(near.select("qid", F.lit(name).alias("channel"), "case_id", "score", "rk"))
-        out = found[0]
-        for part in found[1:]:
-            out = out.unionByName(part)
-        return out
+        # All wordings are one side, so that the corpus is read and dealt out once.
+        asked = [hashed_vectors(side, "qid").select(F.concat_ws(":", F.lit(name), F.col("qid").cast("string")).alias("qid"), "v") for name, side in sides]
+        near = R.dense(reduce(DataFrame.unionByName, asked), vectors, self.depth["dense"], n_queries * len(sides), n_corpus)
+        key = F.split("qid", ":", 2)
+        return sparse.unionByName(near.select(key[1].cast(queries.schema["qid"].dataType).alias("qid"), key[0].alias("channel"), "case_id", "score", "rk"))
 
     def retrieve(self, queries: DataFrame, corpus: DataFrame) -> DataFrame:
         """(qid, case_id, score, rk, channels): the best ``top_k`` of each query."""
