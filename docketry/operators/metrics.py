@@ -107,9 +107,15 @@ def is_truncated(pred: Column, truth: Column) -> Column:
     return (p != "") & (t != "") & (p != t) & F.contains(t, p) & (F.length(p) < TRUNCATED_BELOW * F.length(t))
 
 
+#: Key words that a dictionary may hold; each is an expression of the plan.
+MAX_KEYWORDS = 5000
+
+
 def keyword_scores(texts: DataFrame, key: str, tags: str, keywords: DataFrame) -> DataFrame:
     """(tp, fp, fn) of tags against the tags whose literal key words (tag, keyword) occur in a text: (key, text, tags)."""
-    words = [(r.tag, r.keyword) for r in keywords.select("tag", "keyword").collect()]  # a dictionary
+    words = [(r.tag, r.keyword) for r in keywords.select("tag", "keyword").limit(MAX_KEYWORDS + 1).collect()]
+    if len(words) > MAX_KEYWORDS:
+        raise ValueError(f"a dictionary of more than {MAX_KEYWORDS} key words")
     said = F.array_distinct(F.filter(F.array(*[F.when(F.contains("text", F.lit(w)), F.lit(t)) for t, w in sorted(words)], F.lit(None).cast("string")), lambda x: x.isNotNull()))
     d = texts.select(key, F.array_distinct(F.col(tags)).alias("gold"), said.alias("said"))
     return d.agg(

@@ -39,12 +39,12 @@ def age_buckets(spark, sf_dir):
     return e.crossJoin(F.broadcast(last)).groupBy(I.age_bucket(minutes).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""select doc_id, replace(substr(text, 1, 200), 'the', '<mark>the</mark>') marked, case when instr(text, 'the') > 0 then
+@query("""select doc_id, replace(text, 'the', '<mark>the</mark>') marked, case when instr(text, 'the') > 0 then
   case when greatest(1, instr(text, 'the') - 28) > 1 then '…' else '' end || substr(text, greatest(1, instr(text, 'the') - 28)::bigint, (least(length(text), instr(text, 'the') + 2 + 28) - greatest(1, instr(text, 'the') - 28) + 1)::bigint)
   || case when least(length(text), instr(text, 'the') + 2 + 28) < length(text) then '…' else '' end end snippet from documents""")
 def highlights(spark, sf_dir):
     the = F.lit("the")
-    return table(spark, sf_dir, "documents").select("doc_id", I.marked(F.substring("text", 1, 200), the).alias("marked"), I.snippet(F.col("text"), the).alias("snippet"))
+    return table(spark, sf_dir, "documents").select("doc_id", I.marked(F.col("text"), the).alias("marked"), I.snippet(F.col("text"), the).alias("snippet"))
 
 
 @query("""select r_name, n_name, n, sum(n) over (partition by r_name)::bigint total, round(sqrt(n / greatest(max(n) over (partition by r_name), 1)::double), 6) size
@@ -65,15 +65,15 @@ def table_export(spark, sf_dir):
     return cells(s.select("s_suppkey", "s_name", shown.alias("s_acctbal_text"), F.array(F.lit("a"), nation).alias("tags"), F.create_map(F.lit("k"), nation).alias("meta")))
 
 
-@query("""select i, tip from (select row_number() over (order by p_partkey) i, p_partkey, '- ' || case when length(p_name) > 8 then substr(p_name, 1, 8) || '…' else p_name end tip,
-  from part where p_size = 7), lateral (select 1) qualify sum(length(tip) + 1) over (order by i) <= 500 and i <= 27""")
+@query("""select i, tip from (select row_number() over (order by p_partkey) i, p_partkey, '- ' || case when length(p_name) > 90 then substr(p_name, 1, 90) || '…' else p_name end tip,
+  from part), lateral (select 1) qualify sum(length(tip) + 1) over (order by i) <= 3500 and i <= 27""")
 def tag_guide(spark, sf_dir):
-    """Lines of a guide until it is 500 characters long, 27 at most."""
-    line = F.concat(F.lit("- "), clip(F.col("p_name"), 8))
-    p = table(spark, sf_dir, "part").where("p_size = 7").orderBy("p_partkey").limit(27).select("p_partkey", line.alias("tip"))
+    """Lines of a guide until it is 3,500 characters long, 27 at most."""
+    line = F.concat(F.lit("- "), clip(F.col("p_name"), 90))
+    p = table(spark, sf_dir, "part").orderBy("p_partkey").limit(27).select("p_partkey", line.alias("tip"))
     w = Window.orderBy("p_partkey")  # over at most 27 rows
     p = p.withColumn("i", F.row_number().over(w)).withColumn("used", F.sum(F.length("tip") + 1).over(w))
-    return p.where("used <= 500").select("i", "tip")
+    return p.where("used <= 3500").select("i", "tip")
 
 
 ATTEMPTS = [(1, 0.6, 0.9, 0.9, "table"), (2, 0.2, 0.7, 0.9, "text"), (3, 0.2, 0.1, 0.8, "ocr"), (4, 0.2, 0.1, None, "text")]

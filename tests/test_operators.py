@@ -62,6 +62,13 @@ def test_case_segments(spark):
     assert len(got) == 2 and got[0].startswith("京银保监罚〔2026〕1号") and got[1].startswith("当事人：乙保险公司") and "2号" in got[1]
 
 
+def test_a_number_inside_a_longer_one_keeps_its_place(spark):
+    first, second = "京银保监罚〔2026〕12号", "银保监罚〔2026〕1号"
+    text = first + "\n当事人：甲保险公司，违法行为：虚列费用若干元并套取资金，予以罚款一万元并警告，内容足够长。\n" + second + "\n当事人：乙保险公司，违法行为：欺骗投保人，予以罚款二万元并警告，内容也足够长，超过四十个字。"
+    got = [r.segment for r in extract.segments(spark.createDataFrame([(1, text), (2, "无" * 50), (3, None)], "id int, text string"), "id", "text").orderBy("id", "pos").collect()]
+    assert len(got) == 3 and got[0].startswith(first) and "乙保险" not in got[0] and second in got[1] and "甲保险公司，违法" not in got[1].split(second)[1] and got[2] == "无" * 50
+
+
 def sentences_of(spark, texts):
     d = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
     return review.sentences(d, "id", "body").orderBy("id", "pos").collect()
