@@ -6,10 +6,10 @@ joined back to the ids.  A task sends one partial sum for each cluster and compo
 16 x 65 numbers a round, whatever the table.
 
 Defined results: rows whose vector is null, of another length than ``DIMENSION``, or holds null or non-finite
-components are not in the result.  A null id has no hash: such a row is assigned, but is a start only if all ids are null (then the
-smallest vectors start).  Rows that
-share an id are told apart by their vectors.  With fewer than 16 vectors there are as many centroids.  Integers
-saturate (``integers.limit``), and so do sums of distances at the largest long.  An empty table gives an empty result.
+components are not in the result.  A null id has no hash: such a row is assigned, but is a start only if all ids are
+null (then the smallest vectors are the starts).  Rows that share an id are told apart by their vectors.  With fewer
+than 16 vectors there are as many centroids.  Integers saturate (``integers.limit``), and so do sums of distances at the
+largest long.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
