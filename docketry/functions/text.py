@@ -2,6 +2,7 @@ r"""Column functions for text.  Patterns follow Unicode classes and Unix lines:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, U + r"^\s+|\s+$", "")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def squeeze(c: Column, by: str = " ") -> Column:
     return F.regexp_replace(c, U + r"\s+", by)
 

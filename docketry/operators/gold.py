@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import U, strip
+from docketry.functions.text import U, bound, strip
 from docketry.operators.extract import LABELLED_AUTHORITY, PATTERNS
 
 # Label prefixes, placeholders and markers of the fields.
@@ -159,10 +159,12 @@ def merged_fields(model: dict[str, tuple[Column, Column]], pattern: dict[str, tu
 def evidence(text: Column, limit: int = 1800) -> Column:
     """The head, the surroundings of each field found, and the tail of a text, each once, up to ``limit`` characters."""
     def around(pattern: str) -> Column:
-        hit = F.regexp_extract(text, U + pattern, 0)
-        at = F.instr(text, hit)
-        start = F.greatest(F.lit(1), at - 48)
-        return F.when(hit != "", F.substr(text, start, at - start + F.length(hit) + 160))
+        def cut(x: Column) -> Column:
+            start = F.greatest(F.lit(1), x["at"] - 48)
+            return F.when(x["hit"] != "", F.substr(text, start, x["at"] - start + F.length(x["hit"]) + 160))
+
+        placed = bound(F.regexp_extract(text, U + pattern, 0), lambda hit: F.struct(hit.alias("hit"), F.instr(text, hit).alias("at")))
+        return bound(placed, cut)
 
     chunks = [F.substring(text, 1, 280), *[around(PATTERNS[n][0]) for n in ("penalty_doc_no", "party_name", "violation_behavior", "penalty_content")], around(LABELLED_AUTHORITY), around(PATTERNS["legal_basis"][0])]
     chunks.append(F.when(F.length(text) > 400, F.substr(text, F.length(text) - 399, F.lit(400))))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketry.queries import base, classification, conclusions, documents, evaluation, fulltext, insights, presentation, relational, retrieval, rules, state
+from docketry.queries import base, classification, conclusions, documents, evaluation, extraction, fulltext, insights, presentation, relational, retrieval, rules, state
 
-MODULES = (classification, conclusions, documents, evaluation, fulltext, insights, presentation, relational, retrieval, rules, state)
+MODULES = (classification, conclusions, documents, evaluation, extraction, fulltext, insights, presentation, relational, retrieval, rules, state)
 FLAGSHIP = "retrieve_e2e"
 
 
