@@ -173,3 +173,32 @@ def corpus_filter(spark, sf_dir):
     basis = F.when(i % 7 == 0, "保险法").when(i % 7 == 1, "保险公司管理规定")
     s = C.dictionary_scores(party, behaviour, basis)
     return table(spark, sf_dir, "documents").select("doc_id", *[s[n].alias(n) for n in ("final", "is_insurance", "is_candidate")])
+
+
+DICTIONARY_TAGS = ["合同外利益", "代理人管理不到位", "编制虚假财务资料", "虚列费用套取资金"]
+_TAGS_MAP = "map {" + ", ".join(f"'{t}': '{i}'" for t, i in C.TAG_IDS.items()) + "}"
+
+
+@query(f"""with e as (select printf('R%03d-01-%02d', item_id % 11 + 1, item_id) id, item_id % 3 + 1 lv, [{', '.join(repr(t) for t in DICTIONARY_TAGS)}][item_id % 4 + 1] tag,
+    unnest(list_distinct(regexp_extract_all(text, '[a-z]{{10,}}'))) word from benchmark where item_id % 7 <> 0),
+h as (select doc_id, id, tag, row_number() over (partition by doc_id order by lv desc, id) rn from (select distinct doc_id, id, lv, tag from documents join e on contains(text, word))),
+f as (select doc_id, tag, min(rn) rn from h group by all),
+t as (select doc_id, list(tag order by rn) tags from f group by 1), i as (select doc_id, list(id order by rn) ids from h group by 1),
+a as (select doc_id, tags, coalesce(ids[:5], []) ids, doc_id % 5 = 0 k from documents left join t using (doc_id) left join i using (doc_id)),
+b as (select doc_id, ids, case when k then list_concat(coalesce(tags, []), ['电销违规']) else coalesce(tags, []) end tags,
+  case when k and tags is not null then 'rule+cn_dict' when k then 'cn_dict' else 'rule' end "method" from a),
+c as (select doc_id, list(c order by o) cs from (select doc_id, {_TAGS_MAP}[g] c, min(o) o from (select doc_id, unnest(tags) g, unnest(range(len(tags))) o from b) group by all) where c is not null group by 1)
+select doc_id, array_to_string(ids, ',') internal_ids, coalesce(array_to_string(cs[:3], ','), '') competition_ids, array_to_string(tags, ',') display_tags, "method" from b left join c using (doc_id)""")
+def dictionary_classify(spark, sf_dir):
+    """All documents by a dictionary of the long words of the benchmark's items, of three levels, and by key words."""
+    from docketry.operators.dictionary import classified
+
+    i = F.col("item_id")
+    entries = table(spark, sf_dir, "benchmark").select(
+        F.format_string("R%03d-01-%02d", i % 11 + 1, i).alias("risk_type_id"), (i % 3 + 1).cast("int").alias("level"),
+        F.array(F.element_at(F.array(*[F.lit(t) for t in DICTIONARY_TAGS]), (i % 4 + 1).cast("int"))).alias("display_tags"),
+        F.regexp_extract_all("text", F.lit("[a-z]{10,}"), F.lit(0)).alias("keywords"), (i % 7 != 0).alias("is_active"),
+    )
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, "电话销售").otherwise("")).alias("text"))
+    out = classified(d, "doc_id", "text", entries)
+    return out.select("doc_id", "method", *[F.array_join(c, ",").alias(c) for c in ("internal_ids", "competition_ids", "display_tags")])
