@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -172,13 +173,16 @@ def ids_to_tags(ids: Column) -> Column:
 
 def predict_tags(text: Column, limit: int = 3) -> Column:
     """Tags by key words: the longest match counts ten times, the tag's name breaks ties."""
-    scored = []
-    for tag, words in KEYWORDS.items():
-        spans = [F.length(F.regexp_extract(text, U + w, 0)) for w in words]
-        span = F.greatest(*spans) if len(spans) > 1 else spans[0]
-        floor = F.when(span == 1, 2).otherwise(span)
-        scored.append(F.struct((-(floor * 10 + min(len(tag), 9))).alias("neg"), F.lit(list(TAG_IDS).index(tag)).alias("pos"), F.lit(tag).alias("tag"), (span > 0).alias("hit")))
-    found = F.array_sort(F.filter(F.array(*scored), lambda x: x["hit"]))
+    def span(word: str) -> Column:
+        if re.escape(word) == word:
+            return F.when(F.contains(text, F.lit(word)), len(word)).otherwise(0)
+        return F.length(F.regexp_extract(text, U + word, 0))
+
+    # Every text is searched once for a word; what follows reads the lengths.
+    longest = F.array(*[F.greatest(*map(span, words)) if len(words) > 1 else span(words[0]) for words in KEYWORDS.values()])
+    each = F.array(*[F.struct(F.lit(min(len(t), 9)).alias("bonus"), F.lit(list(TAG_IDS).index(t)).alias("pos"), F.lit(t).alias("tag")) for t in KEYWORDS])
+    scored = F.zip_with(longest, each, lambda n, e: F.struct((-(F.when(n == 1, 2).otherwise(n) * 10 + e["bonus"])).alias("neg"), e["pos"].alias("pos"), e["tag"].alias("tag"), (n > 0).alias("hit")))
+    found = F.array_sort(F.filter(scored, lambda x: x["hit"]))
     return F.slice(F.transform(found, lambda x: x["tag"]), 1, limit)
 
 
