@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from docketry.operators import assignment
+from docketry.operators.assignment import best_pairs
 from docketry.operators.metrics import char_overlap, jaccard, prf
 from docketry.queries.base import query, rounded, rows, table, values
 
@@ -86,36 +88,6 @@ def submission_validate(spark, sf_dir):
     return s.withColumn("again", again).groupBy("question_id", state.alias("state")).agg(F.count("*").cast("int").alias("n"))
 
 
-def best_pairs(scores: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows and columns with the largest total score (Hungarian method with potentials); zero scores stay alone."""
-    n, m = scores.shape
-    if not n or not m:
-        return []
-    flip = n > m
-    cost = -(scores.T if flip else scores)
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j, least, used, way = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
-        while match[j]:
-            used[j] = True
-            free = np.flatnonzero(~used[1:]) + 1
-            slack = cost[match[j] - 1, free - 1] - u[match[j]] - v[free]
-            better = slack < least[free]
-            least[free[better]], way[free[better]] = slack[better], j
-            nxt = free[np.argmin(least[free])]
-            step = least[nxt]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j = nxt
-        while j:
-            match[j] = match[way[j]]
-            j = way[j]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((b, a) if flip else (a, b) for a, b in pairs if cost[a, b] < 0)
-
-
 def assign(gold, pred):
     """Within each file, the pairing of gold and predicted parties with the largest total similarity.
 
@@ -164,3 +136,48 @@ def extraction_prf(spark, sf_dir):
 def keyword_prf(spark, sf_dir):
     g = _labels(spark, sf_dir).where("gold")
     return g.groupBy("tag").agg(F.count("*").alias("n_gold"), F.count_if("pred").alias("n_hit"), rounded(F.count_if("pred") / F.count("*")).alias("recall"))
+
+
+@query("""with c as (select doc_id i, '第' || doc_id || '公司' firm, text, source, lang, '罚款' || doc_id || '万元' fine from documents),
+b as (select i, i % 5 <> 0 has, case when i % 7 = 0 then '当事人：' || firm else firm end gp, case when i % 5 <> 0 then case when i % 11 = 0 then firm[:-2] else firm end else '' end ep, firm,
+  case when i % 5 <> 0 and i % 3 <> 0 then 'N' || i else '' end ed, source gr, case when i % 5 = 0 then '' when i % 4 = 0 then 'x' else source end er, lang gl, case when i % 5 <> 0 then lang else '' end el,
+  case when i % 6 = 0 then '见原文' else fine end gc, case when i % 5 <> 0 then fine else '' end ec, length(regexp_replace(text, '\\s', '', 'g')) gv,
+  case when i % 5 = 0 then 0 when i % 3 = 0 then length(regexp_replace(substr(text, 1, length(text) // 2), '\\s', '', 'g')) else length(regexp_replace(text, '\\s', '', 'g')) end ev,
+  length(translate(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' ', '')) gn, case when i % 5 = 0 then 0 when i % 3 = 0 then length(translate(regexp_replace(substr(text, 1, length(text) // 2), '^\\s+|\\s+$', '', 'g'), ' ', ''))
+    else length(translate(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' ', '')) end en from c),
+x as (select 'fields' part, unnest([{f: 'party_name', g: gp, e: ep, z: false}, {f: 'penalty_doc_no', g: 'N' || i, e: ed, z: false}, {f: 'regulator', g: gr, e: er, z: false}, {f: 'institution_type', g: gl, e: el, z: false}]) u from b
+  union all select 'adjusted', unnest([{f: 'party_name', g: firm, e: ep, z: true}, {f: 'penalty_doc_no', g: 'N' || i, e: ed, z: true}]) from b),
+k as (select part, u.f field, count(*) filter (h) tp, count(*) filter (u.e <> '' and not h) fp, count(*) filter (u.g <> '' and not h) fn, count(*) n from
+  (select *, u.g <> '' and u.e <> '' and (u.g = u.e or (u.z and (starts_with(u.g, u.e) or starts_with(u.e, u.g)))) h from x) where u.g <> '' or u.e <> '' group by all),
+m as (select part, field, case when tp + fp > 0 then tp / (tp + fp)::double else 0.0 end p, case when tp + fn > 0 then tp / (tp + fn)::double else 0.0 end r, n, 0 excluded from k),
+w as (select part, field, round(p, 4)::double p, round(r, 4)::double r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 4)::double f, n, excluded from m),
+o as (select 'fields' part, 'penalty_content' field, avg(case when ec = '' then 0.0 when gc = ec then 1.0 else 0.0 end::double) f, count(*) n, 0 excluded from b
+  union all select 'adjusted', 'penalty_content', avg(case when ec = gc then 1.0 else 0.0 end::double), count(*), (select count(*) from b where gc = '见原文') from b where gc <> '见原文'),
+v as (select avg(case when ev > 0 then 1.0 else 0.0 end::double) p, avg(case when gv > 0 then ev / gv::double else 0.0 end) r, avg(case when ev > 0 then 2.0 * ev / (ev + gv) else 0.0 end::double) f, count(*) n,
+  avg(case when en > 0 and en < 0.7::double * gn then 1.0 else 0.0 end::double) t from b where gn > 0 or en > 0),
+s as (select part, field, p "precision", r recall, f f1, n, excluded from w union all select part, field, round(f, 4)::double, round(f, 4)::double, round(f, 4)::double, n, excluded from o
+  union all select 'fields', 'violation_behavior', round(p, 4)::double, round(r, 4)::double, round(f, 4)::double, n, 0 from v)
+select * from s union all select 'truncated', 'violation_behavior', round(t, 4)::double, null, null, n, 0 from v
+union all select 'truncated', 'penalty_content', 0.0, null, null, count(*), 0 from b
+union all select 'insurance', 'is_insurance_related', round(avg(case when (i % 2 = 0) = (i % 4 = 0) then 1.0 else 0.0 end::double), 4)::double, null, null, count(*), 0 from b where has
+union all select 'macro', 'all', null, null, round(sum(f1) / 6, 4)::double, 6, 0 from s where part = 'fields'""")
+def case_metrics(spark, sf_dir):
+    """Cases of all documents against altered, cut and missing ones, three to a file: optimal pairs, plain and adjusted metrics."""
+    i = F.col("doc_id")
+    text = F.concat(F.lit("第"), i.cast("string"), F.lit("公司"))
+    fine = F.concat(F.lit("罚款"), i.cast("string"), F.lit("万元"))
+    number = F.concat(F.lit("N"), i.cast("string"))
+    d = table(spark, sf_dir, "documents")
+    gold = d.select(
+        F.floor(i / 3).alias("file"), i.alias("gold_id"), F.when(i % 7 == 0, F.concat(F.lit("当事人："), text)).otherwise(text).alias("party_name"), number.alias("penalty_doc_no"),
+        F.col("source").alias("regulator"), F.col("lang").alias("institution_type"), F.col("text").alias("violation_behavior"),
+        F.when(i % 6 == 0, "见原文").otherwise(fine).alias("penalty_content"), (i % 2 == 0).alias("is_insurance_related"),
+    )
+    half = F.when(i % 3 == 0, F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).otherwise(F.col("text"))
+    pred = d.where(i % 5 != 0).select(
+        F.floor(i / 3).alias("file"), i.alias("pred_id"), F.when(i % 11 == 0, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text).alias("party_name"),
+        F.when(i % 3 != 0, number).alias("penalty_doc_no"), F.when(i % 4 == 0, "x").otherwise(F.col("source")).alias("regulator"), F.col("lang").alias("institution_type"),
+        half.alias("violation_behavior"), fine.alias("penalty_content"), (i % 4 == 0).alias("is_insurance_related"),
+    )
+    pairs = assignment.matched(gold, pred, "file")
+    return assignment.case_metrics(assignment.side_by_side(pairs, gold, pred))
