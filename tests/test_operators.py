@@ -184,3 +184,21 @@ def test_cut_fields_are_not_stripped_again(spark, tmp_path):
     con = connect("/root/testdata/sf0.001")
     con.sql(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     same(spark, rules.truncations, base.ORACLES["truncations"], str(tmp_path), con)
+
+
+def test_tag_overlap_matches_each_list_of_tags_once(spark):
+    tags = [["a", "b"], ["b", "a", "a"], ["b"], ["c", None], [], None]
+    corpus = [(f"C{i:04}", tags[i % 6], float(i % 7) if i % 11 else None) for i in range(1200)] + [("C0000", ["b"], 9.0)]
+    queries = [(i, tags[i % 6]) for i in range(0, 300)] + [(0, ["b"])]
+    c = spark.createDataFrame(corpus, "case_id string, tags array<string>, confidence double")
+    q = spark.createDataFrame(queries, "qid int, tags array<string>")
+    found = retrieval.tag_overlap(q, c, 5)
+    # All pairs, as a query's rows and a case's rows count together.
+    pairs = c.select("case_id", "confidence", F.explode(F.array_distinct("tags")).alias("t")).join(q.select("qid", F.explode(F.array_distinct("tags")).alias("t")), "t")
+    pairs = pairs.groupBy("qid", "case_id").agg(F.count("*").cast("double").alias("score"), F.max("confidence").alias("confidence"))
+    want = retrieval.top(pairs, 5, F.col("score").desc(), F.col("confidence").desc(), F.col("case_id"))
+    names = ["qid", "case_id", "score", "confidence", "rk"]
+    assert sorted(map(repr, found.select(names).collect())) == sorted(map(repr, want.select(names).collect()))
+    # The join on tags is between lists of tags: four of them a side here, however many rows share one.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(tags" in plan and "Generate explode(wanted" in plan
