@@ -166,3 +166,17 @@ def test_one_channel_raises_and_the_rest_answer(spark):
 def test_all_channels_fail(spark):
     rows, status = isolated(spark, {"a": lambda: 1 / 0, "b": lambda: spark.range(3).select("no")}, "long")
     assert rows.count() == 0 and [(r.channel, r.ok, r.rows) for r in status.collect()] == [("a", False, 0), ("b", False, 0)]
+
+
+def test_parts_of_the_index_grow_with_the_texts(spark, monkeypatch):
+    from docketry.operators import fulltext
+
+    monkeypatch.setattr(fulltext, "PART_BYTES", 2000)
+    docs = spark.range(400).select(F.format_string("C%06d", "id").alias("case_id"), F.concat_ws(" ", F.lit("the"), F.format_string("w%d", F.col("id") % 97), F.format_string("v%d", "id"), F.lit("x" * 480)).alias("text"))
+    index = fulltext.FullTextIndex.over(docs)
+    folder = spark.read.parquet(index.path + "/postings/batch=0").withColumn("file", F.input_file_name())
+    sizes = [r["count"] for r in folder.groupBy("file").count().collect()]
+    # 400 texts of 500 bytes are 100 parts: 32 folders of 4 slices.  No file holds a frequent token's list whole.
+    assert len(sizes) > 100 and max(sizes) < 400
+    assert folder.where("token = 'the'").count() == 400 and folder.where("token = 'the'").select("file").distinct().count() == 4
+    assert index.containing("the w5").count() == docs.where("id % 97 = 5").count()
