@@ -202,3 +202,21 @@ def test_tag_overlap_matches_each_list_of_tags_once(spark):
     # The join on tags is between lists of tags: four of them a side here, however many rows share one.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(tags" in plan and "Generate explode(wanted" in plan
+
+
+def test_sparse_deals_cases_to_bounded_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [(f"C{i:03}", f"t{t}", float(w)) for i in range(300) for t, w in zip(rng.permutation(40)[:8], rng.integers(1, 9, 8))]
+    asked = [(q, f"t{t}", 1.0 + q % 3) for q in range(20) for t in rng.permutation(44)[:4]]
+    monkeypatch.setattr(retrieval, "SPARSE_PAIRS", 200)
+    found = retrieval.sparse(spark.createDataFrame(asked, "qid int, token string, w double"), spark.createDataFrame(docs, "case_id string, token string, w double"), 5)
+    scores = {}
+    for q, t, a in asked:
+        for c, u, b in docs:
+            if t == u:
+                scores[q, c] = scores.get((q, c), 0.0) + a * b
+    want = {(q, c, s, i + 1) for q in range(20) for i, (s, c) in enumerate(sorted(((-s, c) for (p, c), s in scores.items() if p == q))[:5]) for s in [-s]}
+    assert {(r.qid, r.case_id, r.score, r.rk) for r in found.collect()} == want
+    # One shuffle by case for joining and summing; pairs are not shuffled before the best are taken.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(case_id" in plan and "hashpartitioning(qid#" in plan and ", case_id#" not in plan.split("hashpartitioning(")[1].split(")")[0]
