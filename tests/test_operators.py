@@ -220,3 +220,20 @@ def test_sparse_deals_cases_to_bounded_tasks(spark, monkeypatch):
     # One shuffle by case for joining and summing; pairs are not shuffled before the best are taken.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(case_id" in plan and "hashpartitioning(qid#" in plan and ", case_id#" not in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
+def test_dense_holds_the_scores_of_a_few_queries_at_once(spark, monkeypatch):
+    from docketry.operators.permits import Permit
+
+    # Fewer queries a pass than there are; a wrong slice of the filters or of the scores would show.
+    monkeypatch.setattr(retrieval, "SCORED_QUERIES", 4, raising=True)
+    rng = np.random.default_rng(5)
+    c, q = rng.normal(size=(60, 8)), rng.normal(size=(11, 8))
+    corpus = spark.createDataFrame([(f"C{i:02}", v.tolist()) for i, v in enumerate(c)], "case_id string, v array<double>")
+    queries = spark.createDataFrame([(i, v.tolist(), "r1" if i % 3 == 0 else None) for i, v in enumerate(q)], "qid int, v array<double>, regulator string")
+    cases = spark.createDataFrame([(f"C{i:02}", True, f"r{i % 2}") for i in range(60)], "case_id string, related boolean, regulator string")
+    scores = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 6)
+    for permit in (None, Permit.of(queries, cases)):
+        found = {(r.qid, r.case_id) for r in retrieval.dense(queries, corpus, 5, permit=permit).collect()}
+        allowed = lambda i, j: permit is None or i % 3 > 0 or j % 2 == 1
+        assert found == {(i, f"C{j:02}") for i in range(11) for j in sorted((j for j in range(60) if allowed(i, j)), key=lambda j: (-scores[i, j], j))[:5]}
