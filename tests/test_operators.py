@@ -2,6 +2,7 @@
 
 import io
 import itertools
+import re
 import zipfile
 
 import numpy as np
@@ -237,3 +238,17 @@ def test_dense_holds_the_scores_of_a_few_queries_at_once(spark, monkeypatch):
         found = {(r.qid, r.case_id) for r in retrieval.dense(queries, corpus, 5, permit=permit).collect()}
         allowed = lambda i, j: permit is None or i % 3 > 0 or j % 2 == 1
         assert found == {(i, f"C{j:02}") for i in range(11) for j in sorted((j for j in range(60) if allowed(i, j)), key=lambda j: (-scores[i, j], j))[:5]}
+
+
+def test_backend_deals_texts_once_by_case(spark, monkeypatch):
+    from docketry.plans import backend
+
+    monkeypatch.setattr(backend, "COUNTED_BYTES", 200)
+    corpus = spark.createDataFrame([(f"C{i:02}", f"w{i % 7} w{i % 5} word{i} the the") for i in range(50)] + [("C99", None)], "case_id string, text string")
+    queries = spark.createDataFrame([(1, "the w4 word4"), (2, "nothing")], "qid int, text string")
+    made = backend.Backend()
+    plan = made.channels(queries, corpus)._jdf.queryExecution().executedPlan().toString()
+    # The corpus is dealt by case alone, never by case and token or bucket.
+    assert "hashpartitioning(case_id" in plan and not re.search(r"hashpartitioning\(case_id#\d+, (token|bucket)", plan)
+    best = {(r.qid, r.rk): (r.case_id, r.score) for r in made.retrieve(queries, corpus).collect()}
+    assert best[1, 1] == ("C04", 1.0)
