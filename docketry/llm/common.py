@@ -132,6 +132,19 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tupl
         yield start, len(column)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``max_bytes``, for passes that do each different word once."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text column; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
