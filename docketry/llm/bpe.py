@@ -20,10 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm.common import read, small_batches, text_slices
+from docketry.llm.common import give_back, read, small_batches, text_slices
 from docketry.llm.pretokens import CachedEncoder
 
 
+#: Bytes of texts whose different pieces are encoded together.
+ENCODED_BYTES = 4 << 20
+
+
 class RankQueue:
     """A set of ranks with the positions that wait under each; the lowest rank is found in three steps."""
 
@@ -172,13 +176,16 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def _per_text(docs: DataFrame, path: str, pattern: str, schema: str, result, types: list[pa.DataType]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Workers come from earlier steps and stay for later ones.
+        give_back()
         bpe = loaded(path, pattern)
         for whole in batches:
-            for a, b in text_slices(whole.column(1)):
+            for a, b in text_slices(whole.column(1), ENCODED_BYTES):
                 batch = whole.slice(a, b - a)
-                rows = [result(bpe, ids) for ids in bpe.cached.encode_many(batch.column(1).to_pylist())]
+                rows = [result(bpe, ids) for ids in bpe.cached.encode_many(batch.column(1))]
                 columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], [f.split()[0] for f in schema.split(", ")])
+            give_back()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
