@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import U, bound
+from docketry.functions.text import U, bound, from_ideograph
 from docketry.operators.classify import normalize_tags
 
 # What the flags look for.
@@ -123,7 +123,7 @@ def refined(df: DataFrame, tags: str, text: str, out: str = "refined") -> DataFr
     """``df`` with the refined tags; all flags are one struct column, each rule one further step."""
     blob = F.coalesce(F.col(text), F.lit(""))
     # Bound as a whole: Spark would put the searches in place of each use of a flag.
-    flags = bound(F.struct(*[blob.rlike(U + p).alias(n) for n, p in FLAGS.items()]), lambda x: x)
+    flags = bound(from_ideograph(blob), lambda t: F.struct(*[((blob != "") if n == "text" else (t != "") & t.rlike(U + p)).alias(n) for n, p in FLAGS.items()]))
     df = df.withColumn("_flags", flags).withColumn("_tags", normalize_tags(F.col(tags)))
     f = lambda name: F.col("_flags")[name]
     has = lambda tag: F.array_contains("_tags", tag)
