@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.operators.checks import small
-from docketry.operators.metrics import char_overlap, field_scores, is_truncated, plain_field, prf
+from docketry.operators.metrics import field_scores, is_truncated, pair_overlap, plain_field, prf
 from docketry.storage import stored
 
 #: Cases of a file, on either side, that are paired in one task.
@@ -134,9 +134,9 @@ def _rounded(d: DataFrame, part: str, field: Column, p: Column, r: Column, f1: C
 def _long_scores(both: DataFrame, field: str, part: str, noise: Column) -> DataFrame:
     """Means of the character overlap over pairs of which either side is filled; ``n`` of them, ``excluded`` by ``noise``."""
     g, e = plain_field(F.col(f"g_{field}")), plain_field(F.col(f"e_{field}"))
-    d = both.select(F.monotonically_increasing_id().alias("row"), g.alias("g"), e.alias("e"), noise.alias("noise"))
+    d = both.select(g.alias("g"), e.alias("e"), noise.alias("noise"))
     d = stored(d, "long")
-    scored = char_overlap(d.where("g <> '' and e <> '' and not noise"), "row", "g", "e").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
+    scored = pair_overlap(d.where("g <> '' and e <> '' and not noise"), "g", "e").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
     n = d.agg(F.count_if(F.expr("(g <> '' or e <> '') and not noise")).alias("n"), F.count_if("noise").alias("x"))
     mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
     return _rounded(scored.crossJoin(n), part, F.lit(field), mean("precision"), mean("recall"), mean("f1"), F.col("n"), F.col("x"))  # two single rows

@@ -66,3 +66,15 @@ def test_noise(spark):
     assert (party.f1, party.excluded) == (1.0, 2) and (number.precision, number.excluded) == (0.6667, 0)
     assert (content.f1, content.excluded, content.n) == (1.0, 3, 1) and rows["insurance", "is_insurance_related"].n == 3
     assert rows["insurance", "is_insurance_related"].precision == 0.6667
+
+
+def test_overlap_is_counted_within_a_row(spark):
+    """Long texts of a pair are not dealt by their characters; the values are those of the general measure."""
+    from docketry.operators.metrics import char_overlap, pair_overlap
+
+    rows = [(1, "a b\u3000éa", "aé c"), (2, "", "x"), (3, None, " "), (4, "𝒳𝒳中", "中𝒳"), (5, "abc", "abc")]
+    pairs = spark.createDataFrame(rows, "id int, g string, p string")
+    values = lambda d: sorted(tuple(r) for r in d.select("precision", "recall", "f1").collect())
+    found = pair_overlap(pairs, "g", "p")
+    assert values(found) == values(char_overlap(pairs, "id", "g", "p")) and found.count() == 4
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
