@@ -17,6 +17,8 @@ PENALTY_ALT = (
     r"((?:我(?:会|局|处|厅)|本机关|经研究决定|经审议决定)?[^。]{0,20}?(?:决定(?:给予|对)?|给予|处以|责令|作出)[^。]{0,40}?"
     r"(?:罚款|警告|没收违法所得|吊销(?:业务)?许可证|暂停[^。]{0,10}业务|停止接受[^。]{0,30}(?:新)?业务)[^。]{0,120}。?)"
 )
+#: Words without one of which :data:`PENALTY_ALT` finds nothing; it tries many beginnings at each place of a text.
+PENALTY_SIGNS = ["决定", "给予", "处以", "责令", "作出"]
 # Fields that a model answers, institution types that its answer settles, the confidence below which a case is refined.
 MODEL_FIELDS = ["party_name", "penalty_doc_no", "violation_behavior", "penalty_content", "regulator", "case_summary"]
 SETTLED_TYPES = {"寿险公司": "寿险公司", "财险公司": "财险公司", "保险代理": "保险代理", "保险经纪": "保险经纪", "其他": "其他", "其他金融机构": "其他", "保险代理人": "其他", "非保险": "非保险"}
@@ -43,7 +45,7 @@ def by_patterns(texts: DataFrame, text: str) -> DataFrame:
     f = lambda n: F.col("_f")[n]
     d = d.withColumn("_alt", _held(
         F.when(f("violation_behavior").isNull() & any_of(t, ["存在", "经查"]), F.substring(first_group(t, BEHAVIOUR_ALT, 2), 1, 1200)).alias("violation_behavior"),
-        F.when(f("penalty_content").isNull(), first_group(t, PENALTY_ALT)).alias("penalty_content"),
+        F.when(f("penalty_content").isNull() & any_of(t, PENALTY_SIGNS), first_group(t, PENALTY_ALT)).alias("penalty_content"),
     ))
     authority, authority_level = extract.regulator(t, f("penalty_doc_no"))
     best = parties.best(t)
