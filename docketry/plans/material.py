@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from docketry.storage import stored
 
-# Cases of a sentence, and risky sentences of a material that are looked up.
-SENTENCE_CASES, MATERIAL_SENTENCES = 5, 20
+# Fixed value: cases of a sentence.
+SENTENCE_CASES = 5
 
 
-def first_sentences(sentences: DataFrame, key: str, n: int = MATERIAL_SENTENCES) -> DataFrame:
-    """The first ``n`` rows (key, pos, sentence, ...) of each material."""
+def first_sentences(sentences: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows (key, pos, sentence, ...) of each material, for callers that want no more; reports are of all."""
     place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     return sentences.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
