@@ -31,3 +31,19 @@ def test_few_and_many_looked_up_documents_give_the_same(spark, monkeypatch):
             out.append(sorted(map(tuple, index.search(queries, 5, permit).collect())))
     assert out[0] == out[1] and out[2] == out[3] and out[0] != out[2]
     assert all(int(case_id[1:]) % 3 > 0 for _, case_id, *_ in out[2])
+
+
+def test_postings_of_a_batch():
+    """Postings of a batch: fields run on, equal tokens of a document are one row, positions in order."""
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(["The the x1", None, "!"]), pa.array(["cat THE", "", "案件案件 K9"])], ["case_id", "head", "text"])
+    rows = [tuple(r.values()) for b in fulltext.analysed(Docs(), {"head": 2.0, "text": 0.5})(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert sorted(rows) == sorted([("the", "a", 3, 4.5, [0, 1, 4]), ("x1", "a", 1, 2.0, [2]), ("cat", "a", 1, 0.5, [3]), ("案件案件", "c", 1, 0.5, [0]), ("k9", "c", 1, 0.5, [1])])
